@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import sources, survivors
+from factloom.llm import leaks, sources, spam, survivors
 
 QUERIES = {
     "p1_found": sources.p1_found,
@@ -12,6 +12,10 @@ QUERIES = {
     "p2_pairs": sources.p2_pairs,
     "p5_found": survivors.p5_found,
     "p5_survivors": survivors.p5_survivors,
+    "p6_found": leaks.p6_found,
+    "p6_items": leaks.p6_items,
+    "p8_found": spam.p8_found,
+    "p8_scores": spam.p8_scores,
 }
 
 SQL: dict[str, str] = {}

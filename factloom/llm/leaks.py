@@ -5,8 +5,8 @@ term, the documents and word positions where it stands, as one posting block of
 items are stored, the others can't matter. The search: document frequencies are summed over all blocks; in each run of
 RUN words of an item the rarest term is an anchor; the anchors' postings, less the anchor's place in the item, give
 the diagonals (document and offset) on which the item may stand, and the offset-adjusted postings of all its terms are
-intersected there. A passage of MIN_WORDS words in which fewer than one in ten words differ, none of them next to
-another, has RUN matching words in a row, so no passage is lost: every such run holds an anchor.
+intersected there. A passage holds MIN_WORDS matching words or more, and fewer than one in ten of its words differ,
+none of them next to another. It has RUN matching words in a row, so none is lost: every such run holds an anchor.
 """
 
 from __future__ import annotations
@@ -165,22 +165,22 @@ def _index(vocabulary: dict[str, int]):
 
 def passages(hit: np.ndarray) -> list[tuple[int, int]]:
     """Of a row of matches the longest passage: start and end, or nothing. It starts and ends with a match, holds
-    MIN_WORDS words or more, and fewer than one word in ten, none next to another, differs."""
+    MIN_WORDS matches or more, and fewer than one word in ten, none next to another, differs."""
     at = np.flatnonzero(hit)
-    if len(at) < MIN_WORDS - MIN_WORDS // 10:
+    if len(at) < MIN_WORDS:
         return []
     gaps = np.diff(at)
     best = (0, 0)
     # Two words that differ side by side break a passage.
     for piece in np.split(at, np.flatnonzero(gaps > 2) + 1):
-        if piece[-1] - piece[0] + 1 < MIN_WORDS:
+        if len(piece) < MIN_WORDS:
             continue
         # piece[j] - j counts the words that differ before; with i the first and j the last match, the passage holds
         # n = piece[j] - piece[i] + 1 words of which n - (j - i + 1) differ: 10 (n - (j - i + 1)) < n.
         j = np.arange(len(piece))
         value = 9 * piece - 10 * j  # a passage from i to j fits exactly if value[j] - value[i] < 1
         for i in range(len(piece)):
-            last = np.flatnonzero((value[i:] - value[i] < 1) & (piece[i:] - piece[i] + 1 >= MIN_WORDS))
+            last = np.flatnonzero((value[i:] - value[i] < 1) & (j[i:] - i + 1 >= MIN_WORDS))
             if len(last) and piece[i + last[-1]] + 1 - piece[i] > best[1] - best[0]:
                 best = (int(piece[i]), int(piece[i + last[-1]]) + 1)
             if piece[-1] - piece[i] < best[1] - best[0]:
@@ -217,8 +217,8 @@ def _probe(items: list[tuple[int, np.ndarray, np.ndarray]]):
                 hit = grid[at[:, None] + np.arange(longest, longest + n)] == terms
                 total = np.cumsum(np.pad(hit, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
                 width = min(MIN_WORDS, n)
-                # MIN_WORDS words of which at most two differ are a part of every passage.
-                near = ((total[:, width:] - total[:, :-width]) >= width - 2).any(axis=1)
+                # MIN_WORDS words of which at most three differ are a part of every passage.
+                near = ((total[:, width:] - total[:, :-width]) >= width - 3).any(axis=1)
                 for row in np.flatnonzero(near):
                     line = at[row]
                     # A diagonal may cross several documents; each is looked at by itself.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import leaks, sources, spam, survivors
+from factloom.llm import leaks, mixture, sources, spam, survivors
 
 QUERIES = {
     "p1_found": sources.p1_found,
@@ -14,6 +14,8 @@ QUERIES = {
     "p5_survivors": survivors.p5_survivors,
     "p6_found": leaks.p6_found,
     "p6_items": leaks.p6_items,
+    "p7_mix": mixture.p7_mix,
+    "p7_shares": mixture.p7_shares,
     "p8_found": spam.p8_found,
     "p8_scores": spam.p8_scores,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import inheritance, occurrence_groups
+from factloom.plans import inheritance, occurrence_groups, selections
 
 QUERIES = {
     "p3_found": occurrence_groups.p3_found,
@@ -37,3 +37,7 @@ SELECT g.usr, n_occurrences, n_modules, module AS first_module, file AS first_fi
     "p4_found": f"WITH RECURSIVE {_LINKS} SELECT l.node AS type_id, coalesce(tree.root, -1) AS root_id, CAST(coalesce(tree.depth, -1) AS BIGINT) AS depth FROM l LEFT JOIN tree ON l.node = tree.node",
     "p4_descendants": f"WITH RECURSIVE {_LINKS} SELECT up.anc AS ancestor, up.node AS descendant, up.d AS distance FROM up JOIN tree ON tree.node = up.node",
 }
+
+for _part in (selections,):
+    QUERIES |= _part.Q
+    SQL |= _part.SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,9 +24,10 @@ def splice(text: str, edits: list[tuple[int, int, str]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def conflicts(edits: DataFrame, path: str = "path") -> DataFrame:
-    """Edits that start before an earlier one of their file ends, or where one starts, in the order (start, end desc)."""
-    w = Window.partitionBy(path).orderBy(F.col("start"), F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+def conflicts(edits: DataFrame, path: str = "path", then: Sequence[str] = ()) -> DataFrame:
+    """Edits that start before an earlier one of their file ends, or where one starts, in the order (start, end desc);
+    then: columns that order equal edits."""
+    w = Window.partitionBy(path).orderBy(F.col("start"), F.col("end").desc(), *then).rowsBetween(Window.unboundedPreceding, -1)
     e = edits.withColumn("_end", F.max("end").over(w)).withColumn("_start", F.max("start").over(w))
     return e.where((F.col("start") < F.col("_end")) | (F.col("start") == F.col("_start"))).drop("_end", "_start")
 

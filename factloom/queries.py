@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import inheritance, occurrence_groups, selections
+from factloom.plans import inheritance, occurrence_groups, relations, selections
 
 QUERIES = {
     "p3_found": occurrence_groups.p3_found,
@@ -38,6 +38,6 @@ SELECT g.usr, n_occurrences, n_modules, module AS first_module, file AS first_fi
     "p4_descendants": f"WITH RECURSIVE {_LINKS} SELECT up.anc AS ancestor, up.node AS descendant, up.d AS distance FROM up JOIN tree ON tree.node = up.node",
 }
 
-for _part in (selections,):
+for _part in (selections, relations):
     QUERIES |= _part.Q
     SQL |= _part.SQL

@@ -9,7 +9,7 @@ one node that is its own parent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.session import cut
@@ -27,26 +27,26 @@ def _peel(edges: DataFrame, max_rounds: int) -> tuple[list[DataFrame], DataFrame
             .when((F.col("kids") == 1) & (F.col("node") != F.col("parent")) & (F.col("child") != F.col("parent")) & (h("node") < h("child")) & (h("node") < h("parent")), F.lit("chain"))
             .when((F.col("kids") == 1) & (F.col("node") != F.col("parent")) & (F.col("child") == F.col("parent")) & (h("node") < h("child")), F.lit("chain")),
         )
-        marked = cut(marked)
-        tally = {r["gone"]: r["n"] for r in marked.groupBy("gone").agg(F.count(F.lit(1)).alias("n")).collect()}
+        seen = Observation()
+        marked = cut(marked.observe(seen, *[F.count_if(F.col("gone").eqNullSafe(g)).alias(g or "left") for g in ("leaf", "chain", None)], F.count_if(F.isnull("gone") & (F.col("node") != F.col("parent"))).alias("open")))
+        tally = seen.get
         moved = marked
-        if tally.get("chain"):
+        if tally["chain"]:
             # A leaf may be peeled in the round that splices its parent: it is handed to the parent's parent as well.
             s = marked.where("gone = 'chain'").select(F.col("node").alias("s_node"), F.col("parent").alias("s_parent"), F.col("via").alias("s_via"))
             moved = marked.join(s, F.col("parent") == F.col("s_node"), "left").select(
                 "node",
                 F.coalesce("s_parent", "parent").alias("parent"),
                 F.when(F.col("s_node").isNull(), F.col("via")).otherwise(F.concat("via", F.array("s_node"), "s_via")).alias("via"),
-                "child",
                 "gone",
             )
-        if tally.get("leaf") or tally.get("chain"):
-            rounds.append(moved.where("gone is not null").select("node", "parent", "via", "child", "gone"))
-        if not tally.get(None):
+        if tally["leaf"] or tally["chain"]:
+            rounds.append(moved.where("gone is not null").select("node", "parent", "via"))
+        if not tally["left"]:
             return rounds, None
         alive = moved.where("gone is null").select("node", "parent", "via")
-        if not tally.get("leaf") and not tally.get("chain") and alive.where(F.col("node") != F.col("parent")).isEmpty():
-            return rounds, alive
+        if not tally["open"]:
+            return rounds, cut(alive)
     raise RuntimeError(f"the hierarchy was not peeled in {max_rounds} rounds")
 
 
@@ -75,29 +75,21 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", max_
     rounds, residual = _peel(e.withColumn("via", empty), max_rounds)
     pieces = [cut(resolved)]
     if residual is not None:
-        pieces.append(residual.select("node", nothing.alias("root"), F.lit(None).cast(f"array<{kind}>").alias("path"), F.lit("cycle").alias("state")))
+        pieces.append(residual.select("node", nothing.alias("root"), F.lit(None).cast(f"array<{kind}>").alias("path"), F.lit("below_cycle").alias("state")))
     for gone in reversed(rounds):
         known = pieces[0]
         for p in pieces[1:]:
             known = known.unionByName(p)
         up = known.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("path").alias("p_path"), F.col("state").alias("p_state"))
-        got = gone.join(up, "parent")
-        below = known.where("state = 'cycle'").select(F.col("node").alias("child"), F.lit(True).alias("on_cycle"))
-        # A spliced node lies on a cycle exactly if its only child does; that child was removed later and is known.
-        got = got.join(below, "child", "left") if residual is not None else got.withColumn("on_cycle", F.lit(None).cast("boolean"))
-        pieces.append(
-            cut(
-                got.select(
-                    "node",
-                    F.col("p_root").alias("root"),
-                    F.when(F.col("p_path").isNotNull(), F.concat("p_path", F.reverse("via"), F.array("node"))).alias("path"),
-                    F.when(F.col("p_state") == "tree", F.lit("tree")).when((F.col("gone") == "chain") & F.col("on_cycle"), F.lit("cycle")).otherwise(F.lit("below_cycle")).alias("state"),
-                )
-            )
-        )
+        path = F.when(F.col("p_path").isNotNull(), F.concat("p_path", F.reverse("via"), F.array("node"))).alias("path")
+        pieces.append(cut(gone.join(up, "parent").select("node", F.col("p_root").alias("root"), path, F.col("p_state").alias("state"))))
     known = pieces[0]
     for p in pieces[1:]:
         known = known.unionByName(p)
+    if residual is not None:
+        # What is left of a cycle is one node, its own parent, whose edge names the others of the cycle.
+        ring = residual.select(F.explode(F.concat(F.array("node"), "via")).alias("node"), F.lit("cycle").alias("ring"))
+        known = known.join(ring, "node", "left").select("node", "root", "path", F.coalesce("ring", "state").alias("state"))
     return known.join(e, "node", "left").select("node", "parent", "root", F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("depth"), "path", "state")
 
 

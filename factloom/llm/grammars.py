@@ -102,16 +102,16 @@ Labelled = ID ':' (If / For / While / Repeat / Switch / Do)
 If = 'if' Conditions Block ('else' (If / Block))?
 Guard = 'guard' Conditions 'else' Block
 Conditions = Condition (',' Condition)*
-Condition = 'case' HeadExpression Annotation? ('=' HeadExpression)? / ('let' / 'var') Pattern Annotation? ('=' HeadExpression)? / HeadExpression
-For = 'for' 'try'? 'await'? ('case' HeadExpression / Pattern) Annotation? 'in' HeadExpression ('where' HeadExpression)? Block
+Condition = 'case' Binder? HeadExpression Annotation? ('=' HeadExpression)? / ('let' / 'var') Pattern Annotation? ('=' HeadExpression)? / HeadExpression
+For = 'for' 'try'? 'await'? ('case' Binder? HeadExpression / Pattern) Annotation? 'in' HeadExpression ('where' HeadExpression)? Block
 While = 'while' Conditions Block
 Repeat = 'repeat' Block 'while' Expression
 Switch = 'switch' HeadExpression '{' SwitchItem* '}'
 SwitchItem = '#if' SwitchItem* ('#elseif' SwitchItem*)* ('#else' SwitchItem*)? '#endif' / Label Statements
 Label = Attribute* ('case' CaseItem (',' CaseItem)* ','? ':' / 'default' ':')
-CaseItem = Expression ('where' Expression)?
+CaseItem = Binder? Expression ('where' Expression)?
 Do = 'do' Effects Block ('catch' (!'{' CaseItem2 (',' CaseItem2)*)? Block)*
-CaseItem2 = HeadExpression ('where' HeadExpression)?
+CaseItem2 = Binder? HeadExpression ('where' HeadExpression)?
 Defer = 'defer' Block
 Return = 'return' (SL Expression / !Declaration !Control Expression)?
 Throw = 'throw' Expression
@@ -123,8 +123,8 @@ Effect = 'try' ('?' / '!')? / 'await' &(ExpressionStart)
 ExpressionStart = NAME / 'STRING' / 'STRING_OPEN' / 'NUMBER' / '(' / '[' / '.' / 'PRE' / '\\' / DIRECTIVE / '{' / '&' / '!'
 Infix = INFIX Effect* Unary / ('<' / '>'+) Effect* Unary / '...' Effect* Unary / 'TERNARY' Expression ':' Effect* Expression / 'is' TypeName / 'as' ('?' / '!')? TypeName / ('async' / 'throws') '->' Unary
 Unary = ('PRE' / '&' / '!' / '...')* Word* Postfix
-Word = ('consume' / 'copy' / 'each' / 'any' / 'some' / 'unsafe' / 'repeat' / 'let' / 'var') &(NAME / '(' / '_' / '.' / '[') SL2
-SL2 = SL / !NL
+Binder = ('let' / 'var') &(ID / '(' / '_' / '.' / '[')
+Word = ('consume' / 'copy' / 'each' / 'any' / 'some' / 'unsafe' / 'repeat') &(NAME / '(' / '_' / '.' / '[')
 Postfix = Primary Suffix*
 Suffix = '.' Member2 / '?' / '!' / 'POST' / '...' &(')' / ']' / ',' / '}' / ':' / NL) / SL '(' Arguments ')' / SL '[' Arguments ']' / SL Trailing / PostfixConfig
 Member2 = (NAME / 'NUMBER') GenericUse? ArgumentNames?
@@ -140,7 +140,7 @@ Parenthesis = '(' Arguments ')'
 List = '[' ']' / '[' ':' ']' / '[' Element (',' Element)* ','? ']'
 Element = Expression (':' Expression)?
 Arguments = (Argument (',' Argument)* ','?)?
-Argument = (NAME ':')? (OPERATOR &(',' / ')' / ']') / Expression / TypeName)
+Argument = (NAME ':')? (OPERATOR &(',' / ')' / ']') / Binder? Expression / TypeName)
 KeyPath = '\\' (TypePrimary / ) KeyStep*
 KeyStep = '.' (NAME GenericArguments? ArgumentNames? / '[' Arguments ']' / '?' / '!') / '[' Arguments ']' / '?' / '!' / 'POST' / SL '(' Arguments ')'
 MacroExpansion = Attributes Modifier* DIRECTIVE (SL GenericArguments)? (SL '(' Arguments ')')? (SL Trailing)?

@@ -177,7 +177,8 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
             continue
         elif what == "op":
             s = m.group()
-            if fresh and s[0] in "<>=|" and _MARKER.match(text, start) and (start == 0 or text[start - 1] in "\r\n﻿"):
+            # No operator of seven such signs stands alone at the start of a line, indented or not.
+            if fresh and s[0] in "<>=|" and _MARKER.match(text, start):
                 t.bad(start, True, MARKER)
                 fresh = False
                 at = start + 7

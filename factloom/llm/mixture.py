@@ -129,9 +129,10 @@ def _planned(documents: DataFrame, targets: DataFrame, total_tokens: float | Non
     for r in texts.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n")).collect():
         bins.setdefault(r["source"], []).append((r["bin"], r["n"]))
     have = {s: sum(n for _, n in b) for s, b in bins.items()}
-    # By default as large as it can be with every source that has texts at its share.
-    most = [have[s] * cap / p for s, (p, cap) in goal.items() if have.get(s) and p > 0 and cap > 0]
-    total = float(total_tokens if total_tokens is not None else min(most, default=0.0))
+    # By default as large as it can be with every source that has texts at its share among those.
+    some = {s: (p, cap) for s, (p, cap) in goal.items() if have.get(s) and p > 0 and cap > 0}
+    most = min((have[s] * cap / p for s, (p, cap) in some.items()), default=0.0) * sum(p for p, _ in some.values())
+    total = float(total_tokens if total_tokens is not None else most)
     want = allotted(have, goal, total) if goal else {}
     plan = {s: set_rate(bins.get(s, []), cap, want[s]) if cap > 0 else [] for s, (_, cap) in goal.items()}
     steps = F.coalesce(*[F.when(F.col("source") == s, F.array(*[F.lit(v) for v in f]) if f else F.array().cast("array<double>")) for s, f in plan.items()], F.array().cast("array<double>"))

@@ -20,4 +20,28 @@ QUERIES = {
     "p8_scores": spam.p8_scores,
 }
 
-SQL: dict[str, str] = {}
+_MISSING = "('" + "', '".join(survivors.MISSING) + "')"
+
+
+def _present(c: str) -> str:
+    v = rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return f"CASE WHEN lower({v}) NOT IN {_MISSING} THEN {v} END"
+
+
+def _without_dots(c: str, rounds: int = 6) -> str:
+    """Parts that go up are taken away with the part before them, innermost first."""
+    p = rf"regexp_replace(regexp_replace({c}, '/(\./|/)+', '/', 'g'), '/(\./)+', '/', 'g')"
+    for _ in range(rounds):
+        p = rf"regexp_replace({p}, '/[^/]+/\.\./', '/')"
+    return p
+
+
+SQL: dict[str, str] = {
+    "p5_found": rf"""WITH v AS (SELECT unit_id, {_present('module_name')} AS m, {_present('main_file')} AS f, {_present('output_file')} AS o, {_present('toolchain')} AS c, {_present('target_triple')} AS t, recorded_at AS ts FROM index_units),
+u AS (SELECT *, coalesce(m, nullif(regexp_extract(o, '(?:^|/)([^/]+?)(-tool)?\\.build/', 1), '')) AS module, CASE WHEN starts_with(f, 'file:') THEN url_decode(substr(f, 8)) ELSE f END AS p,
+  coalesce(regexp_matches(o, '(?:^|/)[^/]*-tool\\.build/'), false) AS tool, (m IS NOT NULL)::INT + (o IS NOT NULL)::INT + (c IS NOT NULL)::INT + (t IS NOT NULL)::INT + (ts IS NOT NULL)::INT AS n FROM v),
+k AS (SELECT *, {_without_dots('p')} AS path FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY module, path ORDER BY tool, n DESC, ts DESC NULLS LAST, unit_id DESC) AS rn, min(unit_id) OVER (PARTITION BY module, path) AS g, count(*) OVER (PARTITION BY module, path) AS records
+  FROM k WHERE module IS NOT NULL AND path IS NOT NULL)
+SELECT g AS group_id, unit_id AS survivor_id FROM r WHERE rn = 1 AND records > 1""".replace("\\\\", "\\"),
+}

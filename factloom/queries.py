@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import inheritance, occurrence_groups, relations, selections
+from factloom.plans import facts, inheritance, occurrence_groups, relations, selections
 
 QUERIES = {
     "p3_found": occurrence_groups.p3_found,
@@ -41,3 +41,4 @@ SELECT g.usr, n_occurrences, n_modules, module AS first_module, file AS first_fi
 for _part in (selections, relations):
     QUERIES |= _part.Q
     SQL |= _part.SQL
+QUERIES |= facts.Q

@@ -12,7 +12,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 from factloom.llm import grammars
-from factloom.llm.lexers import Places, Tokens
+from factloom.sources.lexers import Places, Tokens
 
 
 @dataclass(frozen=True)

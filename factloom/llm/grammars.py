@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 
-from factloom.llm import lexers
+from factloom.sources import lexers
 from factloom.llm.peg import EOF, Grammar, compile_grammar
 
 JSON = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import matcher
 from factloom.operators.hierarchy import descendants, hierarchy, subtree_sizes
 from factloom.session import table
 
@@ -76,3 +77,32 @@ def p4_paths(spark, sf_dir: str) -> DataFrame:
 
 def p4_descendants(spark, sf_dir: str) -> DataFrame:
     return descendants(class_hierarchy(spark, sf_dir))
+
+
+def inherited_names(types: DataFrame) -> DataFrame:
+    """node, name, level: what a type inherits, its own entries at level 0, those of its superclasses above.
+
+    Superclass chains come from hierarchy(), so their length costs no rounds; the entries of each ancestor are joined
+    once. Types on or below a cycle have their own entries only.
+    """
+    newest = newest_types(types)
+    entries = newest.select(F.col("type_id").alias("ancestor"), F.explode("inherited").alias("entry")).select("ancestor", plain_entry("entry").alias("name")).where("name <> ''").distinct()
+    up = descendants(hierarchy(superclass_links(types))).select("ancestor", F.col("descendant").alias("node"), F.col("distance").alias("level"))
+    own = newest.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("node"), F.lit(0).alias("level"))
+    return up.unionByName(own).join(entries, "ancestor").groupBy("node", "name").agg(F.min("level").alias("level"))
+
+
+def with_closure(types: DataFrame) -> DataFrame:
+    """The newest types with all_inherited, the names nearest first; for the matchers inherits and conforms."""
+    names = inherited_names(types).groupBy(F.col("node").alias("type_id")).agg(F.array_sort(F.collect_list(F.struct("level", "name"))).alias("n"))
+    return newest_types(types).join(names, "type_id", "left").select("*", F.coalesce(F.transform("n", lambda x: x["name"]), F.array().cast("array<string>")).alias("all_inherited")).drop("n")
+
+
+def inheritance_closure(spark, sf_dir: str) -> DataFrame:
+    return inherited_names(table(spark, sf_dir, "type_decls"))
+
+
+def conformers(spark, sf_dir: str) -> DataFrame:
+    """Types that conform to Codable themselves or through a superclass."""
+    t = with_closure(table(spark, sf_dir, "type_decls"))
+    return t.where(matcher.conforms("Codable").ok()).select("type_id", "module", "qualified_name")

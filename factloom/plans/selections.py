@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import paths
+from factloom.functions import docs, paths
+from factloom.functions.versions import version_key
 from factloom.operators import matcher as m
 from factloom.operators.selection import Roles, Selection, combined
 from factloom.session import table
@@ -310,6 +311,18 @@ def weighted_sum(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.greatest(F.lit(0), F.sum(w)).alias("weight"))
 
 
+@query(r"SELECT file_id, seq, len(regexp_extract_all(documentation, '-\s+[Pp]arameter\s+(\w+)\s*:', 1)) AS n_single, regexp_matches(documentation, '-\s+[Rr]eturns?\s*:') AS has_result FROM function_decls WHERE documentation IS NOT NULL AND NOT contains(documentation, '- Parameters:')")
+def documented_parameters(spark, d):
+    t = table(spark, d, "function_decls").where("documentation is not null and not contains(documentation, '- Parameters:')")
+    return t.select("file_id", "seq", F.size(docs.documented_parameters(F.col("documentation"))).cast("bigint").alias("n_single"), docs.documents_result(F.col("documentation")).alias("has_result"))
+
+
+@query("SELECT DISTINCT p_size, p_size // 10 || '.' || p_size % 10 || '.0' AS version, p_size // 10 > 2 OR (p_size // 10 = 2 AND p_size % 10 >= 5) AS at_least FROM part")
+def version_compare(spark, d):
+    v = F.concat((F.col("p_size") / 10).cast("int").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string"), F.lit(".0"))
+    return table(spark, d, "part").select("p_size", v.alias("version"), (version_key(v) >= version_key(F.lit("2.5.0"))).alias("at_least")).distinct()
+
+
 def inspection(spark, d):
     """Rows kept by each step of a chain of filters."""
     return types(spark, d).suffixed("Loader").prefixed("Base").where(m.is_public()).inspect()

@@ -10,6 +10,8 @@ QUERIES = {
     "p4_found": inheritance.p4_found,
     "p4_paths": inheritance.p4_paths,
     "p4_descendants": inheritance.p4_descendants,
+    "inheritance_closure": inheritance.inheritance_closure,
+    "conformers": inheritance.conformers,
 }
 
 _OCC = "SELECT DISTINCT usr, module, file, line, col, roles FROM occurrences WHERE usr IS NOT NULL AND usr <> ''"
@@ -29,7 +31,16 @@ up AS (SELECT node, parent AS anc, CAST(1 AS INT) AS d FROM l UNION ALL SELECT u
 r AS (SELECT node, arg_max(anc, d) AS root, max(d) AS depth FROM up GROUP BY node),
 tree AS (SELECT * FROM r WHERE depth < 1000)"""
 
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(e, ' ' || chr(9)), '^(@[A-Za-z_]\w*(\([^)]*\))?\s+)+', ''), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'))"
+_CLOSURE = _LINKS + f""",
+nt AS (SELECT type_id, module, qualified_name, inherited FROM (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY observed_at DESC NULLS LAST, received_at DESC NULLS LAST) AS rn FROM type_decls WHERE type_id IS NOT NULL) WHERE rn = 1),
+en AS (SELECT DISTINCT type_id, {_PLAIN} AS name FROM (SELECT type_id, unnest(inherited) AS e FROM nt)),
+pa AS (SELECT type_id AS node, type_id AS anc, 0 AS d FROM nt UNION ALL SELECT up.node, up.anc, up.d FROM up JOIN tree ON tree.node = up.node),
+cl AS (SELECT pa.node, en.name, min(pa.d) AS level FROM pa JOIN en ON en.type_id = pa.anc WHERE en.name <> '' GROUP BY 1, 2)"""
+
 SQL = {
+    "inheritance_closure": f"WITH RECURSIVE {_CLOSURE} SELECT node, name, CAST(level AS INT) AS level FROM cl",
+    "conformers": f"WITH RECURSIVE {_CLOSURE} SELECT type_id, module, qualified_name FROM nt WHERE type_id IN (SELECT node FROM cl WHERE name = 'Codable')",
     "p3_found": f"WITH d AS ({_OCC}) SELECT usr FROM d GROUP BY usr HAVING count(*) >= 0.02 * (SELECT count(*) FROM d)",
     "p3_symbol_groups": f"""WITH d AS ({_OCC}), r AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY module NULLS FIRST, file NULLS FIRST, line NULLS FIRST, col NULLS FIRST, roles NULLS FIRST) AS k FROM d),
 g AS (SELECT usr, count(*) AS n_occurrences, count(DISTINCT module) AS n_modules FROM d GROUP BY usr)

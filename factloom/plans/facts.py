@@ -17,7 +17,7 @@ Q: dict = {}
 
 TABLES = {
     "types": ("type",), "classes": ("type", "class"), "structs": ("type", "struct"), "enums": ("type", "enum"), "actors": ("type", "actor"), "protocols": ("protocol",), "extensions": ("extension",), "functions": ("function",),
-    "properties": ("property",), "initializers": ("initializer",), "enum_cases": ("enum_case",), "imports": ("import",), "typealiases": ("typealias",), "calls": ("call",), "compilation_branches": ("branch",),
+    "properties": ("property",), "initializers": ("initializer",), "enum_cases": ("enum_case",), "imports": ("import",), "typealiases": ("typealias",), "calls": ("call",), "variable_bindings": ("binding",), "assignments": ("assignment",), "compilation_branches": ("branch",),
 }
 _SHOWN = ["path", "seq", "line", "col", "name", "qualified_name", "enclosing", "keyword", "visibility", "return_type", "type_text", "value", "body_line_count", "cyclomatic_complexity", "owner"]
 

@@ -1,5 +1,6 @@
 """Facts of Swift texts: types, protocols, extensions, functions, initializers, properties, enum cases, imports,
-typealiases, calls and compilation branches, in source order, from one pass over the tokens of each file."""
+typealiases, calls, bindings, assignments and
+compilation branches, in source order, from one pass over the tokens of each file."""
 
 from __future__ import annotations
 
@@ -403,8 +404,35 @@ class _File:
         self.calls(i, k, enclosing)
         return k
 
+    def locals(self, a: int, b: int, owner: str | None) -> None:
+        """Bindings and assignments inside bodies: let x = 1, if let y, z = 2, z += 3."""
+        i = a
+        while i < b:
+            if self.s[i] in ("let", "var") and i + 1 < b:
+                j, kind, value = i + 2, None, None
+                if self.s[i + 1] == "(" or not re.match(r"[^\W\d]|`", self.s[i + 1] or "\n"):
+                    i += 1
+                    continue
+                if self.s[j] == ":":
+                    k = self.type_end(j + 1, ("=", "{", "in", "else"))
+                    kind, j = self.without_comments(j + 1, k), k
+                if j < b and self.s[j] == "=":
+                    k = min(self.expression_end(j + 1, b), next((q for q in self._flat(j + 1, b) if self.s[q] == "else"), b))
+                    k = next((q for q in range(j + 1, k) if self.s[q] == "{" and self.s[i - 1] in ("if", "while", ",", "guard")), k)
+                    value = self.without_comments(j + 1, k)
+                self.add("binding", i, name=self.s[i + 1].strip("`"), keyword=self.s[i], type_text=kind, value=value, owner=owner)
+            elif (self.s[i] == "=" or (self.t.kinds[i] == KINDS["BINARY"] and re.fullmatch(r"[-+*/%&|^]=|<<=|>>=|\?\?=", self.s[i] or ""))) and i > a:
+                q = i - 1
+                while q > a and not self.line_break(q) and self.s[q - 1] not in ("{", ";", "}", "let", "var", ":", ",", "(", "in"):
+                    q -= 1
+                # The value of a binding was seen with it.
+                if self.s[q - 1] not in ("let", "var", ":", ",", "(") and self.s[q] not in ("let", "var", "if", "guard", "while", "case"):
+                    self.add("assignment", q, name=self.without_comments(q, i), keyword=self.s[i], value=self.without_comments(i + 1, self.expression_end(i + 1, b)), owner=owner)
+            i += 1
+
     def calls(self, a: int, b: int, owner: str | None) -> None:
         """Calls among the tokens a .. b - 1: callee as written, argument labels (null for none)."""
+        self.locals(a, b, owner)
         for j in range(a, b):
             if self.s[j] != "(" or self.line_break(j) or j == a or j in self.heads:
                 continue

@@ -55,6 +55,12 @@ def test_facts_of_a_file():
     assert [r["seq"] for r in rows] == list(range(len(rows)))
 
 
+def test_bindings_and_assignments():
+    rows = facts("a.swift", "func f() {\n  let a = 1, b: Int\n  guard let c = d(e: 2), var g else { return }\n  x.y = a + 1\n  n += 2\n  if let h = i { j = h }\n  k(l: { m in m = 3 })\n}\n")
+    assert [(r["name"], r["keyword"], r["value"]) for r in rows if r["kind"] == "binding"] == [("a", "let", "1"), ("c", "let", "d(e: 2)"), ("g", "var", None), ("h", "let", "i")]
+    assert [(r["name"], r["keyword"], r["value"], r["owner"]) for r in rows if r["kind"] == "assignment"] == [("x.y", "=", "a + 1", "f"), ("n", "+=", "2", "f"), ("j", "=", "h", "f"), ("m", "=", "3", "f")]
+
+
 def test_broken_and_empty_texts_do_not_crash():
     assert facts("a", None) == [] and facts("a", "") == []
     for k in range(0, len(CODE), 7):

@@ -155,3 +155,22 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> Dat
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return a.join(other, on, how)
+
+
+def nearest(files: DataFrame, settings: DataFrame, path: str = "path") -> DataFrame:
+    """Each path with the setting of the nearest folder at or above it: settings has folder and any other columns.
+
+    The folders above a path become an equi-join, so no pair of path and folder is compared. Paths without one are
+    left out. Of a folder that is set twice one row holds.
+    """
+    up = files.select(path).distinct().withColumn("folder", F.explode(F.array_append(paths.ancestors(F.col(path)), F.lit(""))))
+    values = F.struct(*[F.col(c) for c in settings.columns])
+    one = settings.groupBy(F.col("folder").alias("_folder")).agg(F.max(values).alias("_setting"))
+    hit = up.join(one, F.col("folder") == F.col("_folder"))
+    return hit.groupBy(path).agg(F.max_by("_setting", F.length("_folder")).alias("s")).select(path, "s.*")
+
+
+def language_modes(files: DataFrame, settings: DataFrame, default: str | None = None) -> DataFrame:
+    """path, language_mode: of the nearest setting (folder, language_mode), else the default."""
+    got = nearest(files, settings.select("folder", "language_mode")).select("path", F.col("language_mode").alias("_mode"))
+    return files.select("path").distinct().join(got, "path", "left").select("path", F.coalesce("_mode", F.lit(default)).alias("language_mode"))

@@ -283,10 +283,17 @@ def ambiguous_symbols(spark, d):
 
 @query("SELECT path, folder FROM (SELECT s.path, o.folder, row_number() OVER (PARTITION BY s.path ORDER BY length(o.folder) DESC) AS k FROM (SELECT DISTINCT path FROM source_files WHERE path IS NOT NULL) s JOIN (VALUES ('Sources'), ('Sources/RavenWharfUI'), ('Sources/RavenWharfUI/Views'), ('Scripts')) o(folder) ON starts_with(s.path, o.folder || '/')) WHERE k = 1")
 def nearest_override(spark, d):
-    """The longest folder above a path that declares something; folders above are an equi-join on ancestors."""
     o = spark.createDataFrame([("Sources",), ("Sources/RavenWharfUI",), ("Sources/RavenWharfUI/Views",), ("Scripts",)], "folder string")
-    up = table(spark, d, "source_files").where("path is not null").select("path").distinct().select("path", F.explode(paths.ancestors(F.col("path"))).alias("folder"))
-    return up.join(o, "folder").groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
+    return layering.nearest(table(spark, d, "source_files").where("path is not null"), o)
+
+
+@query(
+    """SELECT path, CASE WHEN regexp_matches(path, '^Sources/[^/]+/Views/') AND starts_with(path, 'Sources/RavenWharfUI/Views/') THEN '6' WHEN starts_with(path, 'Sources/RavenWharfUI/') THEN '5' WHEN starts_with(path, 'Scripts/') THEN '4' ELSE 'none' END AS language_mode
+    FROM (SELECT DISTINCT path FROM source_files WHERE path IS NOT NULL)"""
+)
+def language_modes(spark, d):
+    o = spark.createDataFrame([("Sources/RavenWharfUI", "5"), ("Sources/RavenWharfUI/Views", "6"), ("Scripts", "4")], "folder string, language_mode string")
+    return layering.language_modes(table(spark, d, "source_files").where("path is not null"), o, "none")
 
 
 # Streaming operators, over tables.

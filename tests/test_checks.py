@@ -107,3 +107,32 @@ def test_definitions_and_references(spark):
     occ = spark.createDataFrame([("u", "f", "fn", "M", "a.swift", 1, 1, 2), ("u", "f", "fn", "M", "b.swift", 3, 5, 4), ("u", "f", "fn", "M", "b.swift", 2, 5, 4), ("u", "f", "fn", "M", "b.swift", 2, 5, 4), ("v", "g", "fn", "M", "a.swift", 2, 1, 2), ("v", "g", "fn", "M", "c.swift", 2, 1, 2), ("v", "g", "fn", "M", "b.swift", 9, 1, 4)], "usr string, name string, kind string, module string, file string, line int, col int, roles long")
     assert [tuple(r) for r in index.file_references(occ).collect()] == [("b.swift", "a.swift", 2, 5, 2)]
     assert {(r["usr"], r["ambiguous"]) for r in index.definition_files(occ).collect()} == {("u", False), ("v", True)}
+
+
+def test_list_edits():
+    t = 'f(a, "x, (", [1, 2])\ng()\nh(\n  ä,\n  b\n)\n'
+    g, h = t.encode().index(b"g(") + 1, t.encode().index(b"h(") + 1
+    apply = lambda *e: edits.splice(t, list(e))
+    assert apply(edits.insert_element(t, 1, 1, "z")).startswith('f(a, z, "x, (", [1, 2])')
+    assert apply(edits.insert_element(t, 1, 3, "z")).startswith('f(a, "x, (", [1, 2], z)')
+    assert "g(z)" in apply(edits.insert_element(t, g, 0, "z"))
+    assert "h(\n  ä,\n  b,\n  z\n)" in apply(edits.insert_element(t, h, 2, "z"))
+    assert apply(edits.remove_element(t, 1, 0)).startswith('f("x, (", [1, 2])') and apply(edits.remove_element(t, 1, 2)).startswith('f(a, "x, (")')
+    assert "h(\n  b\n)" in apply(edits.remove_element(t, h, 0))
+    assert edits.splice("if ((a)) { }", edits.unwrap("if ((a)) { }", 3)) == "if (a) { }"
+    for bad in (lambda: edits.insert_element(t, 1, 9, "z"), lambda: edits.remove_element(t, g, 0), lambda: edits.insert_element("f(a", 1, 0, "z"), lambda: edits.unwrap("()", 0)):
+        with pytest.raises(edits.EditConflict):
+            bad()
+
+
+def test_wrapped_lists():
+    assert edits.wrapped("(", ["a", "b"], ")") == "(a, b)"
+    assert edits.wrapped("(", ["aaa", "bbb"], ")", "  ", 8) == "(\n    aaa,\n    bbb\n  )"
+    with pytest.raises(ValueError):
+        edits.wrapped("(", [], ")", width=0)
+
+
+def test_nearest_settings(spark):
+    files = spark.createDataFrame([("A/B/c.swift",), ("A/c.swift",), ("D/e.swift",)], "path string")
+    modes = spark.createDataFrame([("A", "5"), ("A/B", "6")], "folder string, language_mode string")
+    assert {tuple(r) for r in layering.language_modes(files, modes, "4").collect()} == {("A/B/c.swift", "6"), ("A/c.swift", "5"), ("D/e.swift", "4")}

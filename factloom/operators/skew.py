@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import cut
+
 
 def _fresh(taken: Sequence[str], wanted: str) -> str:
     low = {t.lower() for t in taken}
@@ -70,6 +72,10 @@ def skew_safe_groups(
 
 
 def heavy_keys(groups: DataFrame, key: str, share: float) -> DataFrame:
-    """The keys of skew_safe_groups that hold at least share of all distinct rows; the total is a scalar subquery."""
+    """The keys of skew_safe_groups that hold at least share of all distinct rows.
+
+    The counts, one row for each key, are written once; the total and the keys are both read from there.
+    """
+    groups = cut(groups.select(key, "n_distinct"))
     total = groups.agg(F.sum("n_distinct").alias("total"))
     return groups.where(F.col("n_distinct") >= F.lit(share) * total.scalar()).select(key)

@@ -13,17 +13,20 @@ ORDER = ["module", "file", "line", "col", "roles"]
 HEAVY_SHARE = 0.02
 
 
+NAMED = "usr is not null and usr <> ''"
+
+
 def symbol_groups(spark, sf_dir: str) -> DataFrame:
-    occ = table(spark, sf_dir, "occurrences").where("usr is not null and usr <> ''")
-    return skew_safe_groups(occ, "usr", ORDER, ["module"])
+    """Groups of all occurrences; those without usr are groups as well, since they count in the total."""
+    return skew_safe_groups(table(spark, sf_dir, "occurrences"), "usr", ORDER, ["module"])
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    return heavy_keys(symbol_groups(spark, sf_dir), "usr", HEAVY_SHARE)
+    return heavy_keys(symbol_groups(spark, sf_dir), "usr", HEAVY_SHARE).where(NAMED)
 
 
 def p3_symbol_groups(spark, sf_dir: str) -> DataFrame:
-    g = symbol_groups(spark, sf_dir)
+    g = symbol_groups(spark, sf_dir).where(NAMED)
     return g.select(
         "usr", F.col("n_distinct").alias("n_occurrences"), F.col("n_module").alias("n_modules"), F.col("first.module").alias("first_module"), F.col("first.file").alias("first_file"),
         F.col("first.line").alias("first_line"), F.col("first.col").alias("first_col"), F.col("first.roles").alias("first_roles"),

@@ -41,7 +41,7 @@ cl AS (SELECT pa.node, en.name, min(pa.d) AS level FROM pa JOIN en ON en.type_id
 SQL = {
     "inheritance_closure": f"WITH RECURSIVE {_CLOSURE} SELECT node, name, CAST(level AS INT) AS level FROM cl",
     "conformers": f"WITH RECURSIVE {_CLOSURE} SELECT type_id, module, qualified_name FROM nt WHERE type_id IN (SELECT node FROM cl WHERE name = 'Codable')",
-    "p3_found": f"WITH d AS ({_OCC}) SELECT usr FROM d GROUP BY usr HAVING count(*) >= 0.02 * (SELECT count(*) FROM d)",
+    "p3_found": f"WITH d AS ({_OCC}) SELECT usr FROM d GROUP BY usr HAVING count(*) >= 0.02 * (SELECT count(*) FROM (SELECT DISTINCT usr, module, file, line, col, roles FROM occurrences))",
     "p3_symbol_groups": f"""WITH d AS ({_OCC}), r AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY module NULLS FIRST, file NULLS FIRST, line NULLS FIRST, col NULLS FIRST, roles NULLS FIRST) AS k FROM d),
 g AS (SELECT usr, count(*) AS n_occurrences, count(DISTINCT module) AS n_modules FROM d GROUP BY usr)
 SELECT g.usr, n_occurrences, n_modules, module AS first_module, file AS first_file, line AS first_line, col AS first_col, roles AS first_roles FROM g JOIN r ON r.usr = g.usr AND k = 1""",

@@ -15,38 +15,36 @@ from pyspark.sql import functions as F
 from factloom.session import cut
 
 
-def _peel(edges: DataFrame, max_rounds: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Rounds of removed nodes, and the residual. edges: node, parent, via ARRAY (nodes skipped on the way to parent)."""
-    alive, rounds = edges, []
+def _round(alive: DataFrame, n: int) -> DataFrame:
+    """One round: node, parent, via, gone (leaf, chain or null); edges to spliced nodes lead on to those nodes' parents."""
+    children = alive.groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("kids"), F.max("node").alias("child"))
+    h = lambda c: F.xxhash64(F.col(c), F.lit(n))
+    inner = (F.col("kids") == 1) & (F.col("node") != F.col("parent")) & (h("node") < h("child")) & ((F.col("child") == F.col("parent")) | (h("node") < h("parent")))
+    gone = F.when(F.col("kids").isNull(), F.lit("leaf")).when(inner, F.lit("chain"))
+    marked = alive.join(children, F.col("node") == F.col("of"), "left").select("node", "parent", "via", gone.alias("gone"))
+    # A leaf may be peeled in the round that splices its parent: it is handed to the parent's parent as well.
+    s = marked.where("gone = 'chain'").select(F.col("node").alias("s_node"), F.col("parent").alias("s_parent"), F.col("via").alias("s_via"))
+    return marked.join(s, F.col("parent") == F.col("s_node"), "left").select(
+        "node",
+        F.coalesce("s_parent", "parent").alias("parent"),
+        F.when(F.col("s_node").isNull(), F.col("via")).otherwise(F.concat("via", F.array("s_node"), "s_via")).alias("via"),
+        "gone",
+    )
+
+
+def _peel(edges: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """All removed nodes with their edges at removal, and the residual: cycles, each shrunk to one node that is its own
+    parent. edges: node, parent, via ARRAY (nodes skipped on the way to parent)."""
+    alive, removed = edges, None
     for n in range(max_rounds):
-        children = alive.groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("kids"), F.max("node").alias("child"))
-        h = lambda c: F.xxhash64(F.col(c), F.lit(n))  # noqa: E731,B023
-        marked = alive.join(children, F.col("node") == F.col("of"), "left").drop("of").withColumn(
-            "gone",
-            F.when(F.col("kids").isNull(), F.lit("leaf"))
-            .when((F.col("kids") == 1) & (F.col("node") != F.col("parent")) & (F.col("child") != F.col("parent")) & (h("node") < h("child")) & (h("node") < h("parent")), F.lit("chain"))
-            .when((F.col("kids") == 1) & (F.col("node") != F.col("parent")) & (F.col("child") == F.col("parent")) & (h("node") < h("child")), F.lit("chain")),
-        )
         seen = Observation()
-        marked = cut(marked.observe(seen, *[F.count_if(F.col("gone").eqNullSafe(g)).alias(g or "left") for g in ("leaf", "chain", None)], F.count_if(F.isnull("gone") & (F.col("node") != F.col("parent"))).alias("open")))
-        tally = seen.get
-        moved = marked
-        if tally["chain"]:
-            # A leaf may be peeled in the round that splices its parent: it is handed to the parent's parent as well.
-            s = marked.where("gone = 'chain'").select(F.col("node").alias("s_node"), F.col("parent").alias("s_parent"), F.col("via").alias("s_via"))
-            moved = marked.join(s, F.col("parent") == F.col("s_node"), "left").select(
-                "node",
-                F.coalesce("s_parent", "parent").alias("parent"),
-                F.when(F.col("s_node").isNull(), F.col("via")).otherwise(F.concat("via", F.array("s_node"), "s_via")).alias("via"),
-                "gone",
-            )
-        if tally["leaf"] or tally["chain"]:
-            rounds.append(moved.where("gone is not null").select("node", "parent", "via"))
-        if not tally["left"]:
-            return rounds, None
-        alive = moved.where("gone is null").select("node", "parent", "via")
-        if not tally["open"]:
-            return rounds, cut(alive)
+        done = cut(_round(alive, n).observe(seen, F.count_if(F.isnull("gone") & (F.col("node") != F.col("parent"))).alias("open")))
+        gone = done.where("gone is not null").select("node", "parent", "via")
+        removed = gone if removed is None else removed.unionByName(gone)
+        alive = done.where("gone is null").select("node", "parent", "via")
+        if not seen.get["open"]:
+            # What is left is its own parent, and nothing hangs below it any more.
+            return removed, alive
     raise RuntimeError(f"the hierarchy was not peeled in {max_rounds} rounds")
 
 
@@ -72,24 +70,29 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", max_
     roots = e.select(F.col("parent").alias("node")).distinct().join(e.select("node"), "node", "left_anti")
     resolved = roots.select("node", F.col("node").alias("root"), F.array("node").alias("path"), F.lit("tree").alias("state"))
     # A root is no row of its own in the peeling: edges to roots end there.
-    rounds, residual = _peel(e.withColumn("via", empty), max_rounds)
-    pieces = [cut(resolved)]
-    if residual is not None:
-        pieces.append(residual.select("node", nothing.alias("root"), F.lit(None).cast(f"array<{kind}>").alias("path"), F.lit("below_cycle").alias("state")))
-    for gone in reversed(rounds):
-        known = pieces[0]
-        for p in pieces[1:]:
-            known = known.unionByName(p)
-        up = known.select(F.col("node").alias("parent"), F.col("root").alias("p_root"), F.col("path").alias("p_path"), F.col("state").alias("p_state"))
-        path = F.when(F.col("p_path").isNotNull(), F.concat("p_path", F.reverse("via"), F.array("node"))).alias("path")
-        pieces.append(cut(gone.join(up, "parent").select("node", F.col("p_root").alias("root"), path, F.col("p_state").alias("state"))))
-    known = pieces[0]
-    for p in pieces[1:]:
-        known = known.unionByName(p)
-    if residual is not None:
-        # What is left of a cycle is one node, its own parent, whose edge names the others of the cycle.
-        ring = residual.select(F.explode(F.concat(F.array("node"), "via")).alias("node"), F.lit("cycle").alias("ring"))
-        known = known.join(ring, "node", "left").select("node", "root", "path", F.coalesce("ring", "state").alias("state"))
+    removed, residual = _peel(e.withColumn("via", empty), max_rounds)
+    # Back in reverse peel order: each node's parent was removed later, so following parents climbs the rounds. Each
+    # pass doubles the rounds that a node's segment spans.
+    up = removed.select("node", F.col("parent").alias("top"), F.concat(F.reverse("via"), F.array("node")).alias("segment"))
+    while True:
+        seen = Observation()
+        above = up.select(F.col("node").alias("a_node"), F.col("top").alias("a_top"), F.col("segment").alias("a_segment"))
+        up = cut(
+            up.join(above, F.col("top") == F.col("a_node"), "left").observe(seen, F.count("a_node").alias("moved")).select(
+                "node", F.coalesce("a_top", "top").alias("top"), F.when(F.col("a_node").isNull(), F.col("segment")).otherwise(F.concat("a_segment", "segment")).alias("segment")
+            )
+        )
+        if not seen.get["moved"]:
+            break
+    rings = residual.select("node", F.explode(F.concat(F.array("node"), "via")).alias("member"))
+    ring = rings.select(F.col("member").alias("r_node"))
+    knots = residual.select(F.col("node").alias("knot"))
+    below = up.join(knots, F.col("top") == F.col("knot"), "left").select(
+        "node", F.when(F.col("knot").isNull(), F.col("top")).alias("root"), F.when(F.col("knot").isNull(), F.concat(F.array("top"), "segment")).alias("path"), F.when(F.col("knot").isNull(), F.lit("tree")).otherwise(F.lit("below_cycle")).alias("state")
+    )
+    known = resolved.unionByName(below).unionByName(residual.select("node", nothing.alias("root"), F.lit(None).cast(f"array<{kind}>").alias("path"), F.lit("below_cycle").alias("state")))
+    # What is left of a cycle is one node, its own parent, whose edge names the others of the cycle.
+    known = known.join(ring, F.col("node") == F.col("r_node"), "left").select("node", "root", "path", F.when(F.col("r_node").isNotNull(), F.lit("cycle")).otherwise(F.col("state")).alias("state"))
     return known.join(e, "node", "left").select("node", "parent", "root", F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("depth"), "path", "state")
 
 

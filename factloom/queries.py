@@ -46,6 +46,15 @@ SQL = {
 g AS (SELECT usr, count(*) AS n_occurrences, count(DISTINCT module) AS n_modules FROM d GROUP BY usr)
 SELECT g.usr, n_occurrences, n_modules, module AS first_module, file AS first_file, line AS first_line, col AS first_col, roles AS first_roles FROM g JOIN r ON r.usr = g.usr AND k = 1""",
     "p4_found": f"WITH RECURSIVE {_LINKS} SELECT l.node AS type_id, coalesce(tree.root, -1) AS root_id, CAST(coalesce(tree.depth, -1) AS BIGINT) AS depth FROM l LEFT JOIN tree ON l.node = tree.node",
+    "p4_paths": f"""WITH RECURSIVE {_LINKS}, nodes AS (SELECT node FROM l UNION SELECT parent FROM l), ring AS (SELECT DISTINCT node FROM up WHERE node = anc),
+lab AS (SELECT type_id, concat_ws('.', module, qualified_name) AS label FROM t),
+chain AS (SELECT up.node, up.anc, up.d FROM up JOIN tree ON tree.node = up.node UNION ALL SELECT node, node, 0 FROM nodes),
+p AS (SELECT node, string_agg(label, ' > ' ORDER BY d DESC) AS path FROM chain JOIN lab ON lab.type_id = anc GROUP BY node),
+b AS (SELECT anc AS node, count(*) AS n, max(d) AS h FROM up JOIN tree ON tree.node = up.node GROUP BY anc),
+s AS (SELECT node, CASE WHEN node IN (SELECT node FROM ring) THEN 'cycle' WHEN node IN (SELECT node FROM l) AND node NOT IN (SELECT node FROM tree) THEN 'below_cycle' ELSE 'tree' END AS state FROM nodes)
+SELECT s.node AS type_id, l.parent, CASE WHEN state = 'tree' THEN coalesce(tree.root, s.node) END AS root, CASE WHEN state = 'tree' THEN CAST(coalesce(tree.depth, 0) AS INT) END AS depth, state,
+CASE WHEN state = 'tree' THEN p.path END AS path, CASE WHEN state = 'tree' THEN coalesce(b.n, 0) END AS n_descendants, CASE WHEN state = 'tree' THEN CAST(coalesce(b.h, 0) AS INT) END AS height
+FROM s LEFT JOIN l ON l.node = s.node LEFT JOIN tree ON tree.node = s.node LEFT JOIN p ON p.node = s.node LEFT JOIN b ON b.node = s.node""",
     "p4_descendants": f"WITH RECURSIVE {_LINKS} SELECT up.anc AS ancestor, up.node AS descendant, up.d AS distance FROM up JOIN tree ON tree.node = up.node",
 }
 

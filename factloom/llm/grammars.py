@@ -332,6 +332,18 @@ def scan(text: str, lang: str) -> lexers.Tokens | None:
     return found[1](text, found[0].kinds) if found else None
 
 
+def valid_tokens(text: str, lang: str) -> lexers.Tokens | None:
+    """The tokens of a text that parses as a whole, else None; the text is scanned once."""
+    g, scanner = grammar(lang)
+    if sys.getrecursionlimit() < 200_000:
+        sys.setrecursionlimit(200_000)
+    t = scanner(text, g.kinds)
+    try:
+        return None if t.errors or g.parse(t.kinds, t.first) >= 0 else t
+    except RecursionError:
+        return None
+
+
 def _fault(text: str, lang: str) -> tuple[int, str, str] | None:
     g, scanner = grammar(lang)
     t = scanner(text, g.kinds)

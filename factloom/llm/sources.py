@@ -66,15 +66,15 @@ _PAIR = "file_id bigint, ingested_at timestamp_ntz, text_hash bigint, line int,
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from factloom.llm import docpairs
-    from factloom.llm.grammars import check
+    from factloom.llm.grammars import valid_tokens
 
     for b in batches:
         rows = []
         for file_id, at, h, text in zip(b["file_id"], b["ingested_at"], b["text_hash"], b["text"]):
             # The cheap test first: without a documentation comment there is no pair.
-            if ("///" not in text and "/**" not in text) or check(text, "swift"):
+            if ("///" not in text and "/**" not in text) or (tokens := valid_tokens(text, "swift")) is None:
                 continue
-            for f in docpairs.functions(text):
+            for f in docpairs.functions(text, tokens):
                 if not docpairs.is_trivial(f.documentation, f.name):
                     rows.append((file_id, at, h, f.line, f.col, f.name, f.signature, list(f.labels), list(f.names), f.documentation, docpairs.plain_sentences(f.documentation), f.code))
         yield pd.DataFrame(rows, columns=["file_id", "ingested_at", "text_hash", "line", "col", "name", "signature", "labels", "names", "documentation", "summary", "code"])

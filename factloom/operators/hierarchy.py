@@ -105,6 +105,26 @@ def descendants(tree: DataFrame) -> DataFrame:
     return p.select("ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def cyclic_ancestors(tree: DataFrame, max_rounds: int = 30) -> DataFrame:
+    """From hierarchy(), for nodes on or below a cycle: node, ancestor, distance INT, each ancestor once, where the walk
+    up meets it first; a node on a cycle is its own ancestor as well.
+
+    Each round doubles the steps that are followed: a node takes over what the node so many steps above it has found.
+    """
+    up = cut(tree.where("state <> 'tree'").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    jump, n = up.select("node", F.col("ancestor").alias("top")), up.count()
+    for k in range(max_rounds):
+        above = up.select(F.col("node").alias("top"), "ancestor", (F.col("distance") + F.lit(1 << k)).alias("distance"))
+        found = jump.join(above, "top").select("node", "ancestor", "distance")
+        up = cut(up.unionByName(found).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        m = up.count()
+        if m == n:
+            return up
+        n = m
+        jump = cut(jump.join(jump.select(F.col("node").alias("top"), F.col("top").alias("next")), "top").select("node", F.col("next").alias("top")))
+    raise RuntimeError(f"the cycles were not followed in {max_rounds} rounds")
+
+
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """ancestor, n_descendants, height: counted map-side before the exchange, so hot roots cost one row a task."""
     return descendants(tree).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))

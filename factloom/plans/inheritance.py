@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import matcher
-from factloom.operators.hierarchy import descendants, hierarchy, subtree_sizes
+from factloom.operators.hierarchy import cyclic_ancestors, descendants, hierarchy, subtree_sizes
 from factloom.session import table
 
 _BEFORE = r"^(?:@[\p{L}_][\p{L}\p{N}_.]*(?:\([^)]*\))?\s+)+"
@@ -83,11 +83,12 @@ def inherited_names(types: DataFrame) -> DataFrame:
     """node, name, level: what a type inherits, its own entries at level 0, those of its superclasses above.
 
     Superclass chains come from hierarchy(), so their length costs no rounds; the entries of each ancestor are joined
-    once. Types on or below a cycle have their own entries only.
+    once. On or below a cycle each superclass counts once, where the walk up meets it first.
     """
     newest = newest_types(types)
     entries = newest.select(F.col("type_id").alias("ancestor"), F.explode("inherited").alias("entry")).select("ancestor", plain_entry("entry").alias("name")).where("name <> ''").distinct()
-    up = descendants(hierarchy(superclass_links(types))).select("ancestor", F.col("descendant").alias("node"), F.col("distance").alias("level"))
+    tree = hierarchy(superclass_links(types))
+    up = descendants(tree).select("ancestor", F.col("descendant").alias("node"), "distance").unionByName(cyclic_ancestors(tree)).withColumnRenamed("distance", "level")
     own = newest.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("node"), F.lit(0).alias("level"))
     return up.unionByName(own).join(entries, "ancestor").groupBy("node", "name").agg(F.min("level").alias("level"))
 

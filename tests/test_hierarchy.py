@@ -1,6 +1,6 @@
 import random
 
-from factloom.operators.hierarchy import descendants, hierarchy, subtree_sizes
+from factloom.operators.hierarchy import cyclic_ancestors, descendants, hierarchy, subtree_sizes
 
 
 def brute(parent):
@@ -51,3 +51,15 @@ def test_descendants_and_sizes(spark):
     t = hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("x", "y"), ("y", "x")], "node string, parent string"))
     assert {tuple(r) for r in descendants(t).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
     assert {tuple(r) for r in subtree_sizes(t).collect()} == {("a", 3, 2), ("b", 2, 1)}
+
+
+def test_ancestors_on_and_below_cycles(spark):
+    parent = {n: n + 1 for n in range(40)} | {40: 30, 100: 35, 101: 100, 7000: 7000, 7001: 7000, 200: 201}
+    want = set()
+    for n in set(parent) - {200}:
+        x, seen = n, {}
+        while (x := parent[x]) not in seen:
+            seen[x] = len(seen) + 1
+        want |= {(n, a, d) for a, d in seen.items()}
+    got = cyclic_ancestors(hierarchy(spark.createDataFrame(list(parent.items()), "node long, parent long")))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)

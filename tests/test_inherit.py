@@ -1,4 +1,5 @@
 from factloom.operators.inherit import closure, resolved
+from factloom.plans.inheritance import inherited_names, with_closure
 from factloom.sources import readers
 from factloom.sources.declarations import read_facts, view
 
@@ -39,3 +40,17 @@ def test_resolution(spark):
     d = spark.createDataFrame([("Base",), ("Legacy.Base",), ("X.User",), ("Y.User",), ("Only.One",)], "qualified_name string")
     names = spark.createDataFrame([("Base",), ("Legacy.Base",), ("User",), ("One",), ("Nope",), ("Z.One",)], "name string")
     assert {tuple(r) for r in resolved(names, d).collect()} == {("Base", "Base"), ("Legacy.Base", "Legacy.Base"), ("User", "X.User"), ("User", "Y.User"), ("One", "Only.One")}
+
+
+def test_names_on_and_below_circular_inheritance_are_kept(spark):
+    rows = [(1, "A", ["B", "P"]), (2, "B", ["C", "Codable"]), (3, "C", ["A", "R"]), (4, "Below", ["A"]), (5, "Self", ["Self", "S"]), (6, "Lower", ["Below", "L"])]
+    schema = "type_id long, module string, qualified_name string, name string, keyword string, inherited array<string>, observed_at timestamp_ntz, received_at timestamp_ntz"
+    types = spark.createDataFrame([(i, "M", n, n, "class", e, None, None) for i, n, e in rows], schema)
+    got = {}
+    for r in inherited_names(types).collect():
+        got.setdefault(r["node"], {})[r["name"]] = r["level"]
+    a = {"B": 0, "P": 0, "C": 1, "Codable": 1, "A": 2, "R": 2}
+    below = {"A": 0} | {n: level + 1 for n, level in a.items() if n != "A"}
+    assert got[1] == a and got[4] == below and got[5] == {"Self": 0, "S": 0}
+    assert got[6] == {"Below": 0, "L": 0, "A": 1} | {n: level + 1 for n, level in below.items() if n != "A"}
+    assert {r["type_id"] for r in with_closure(types).where("array_contains(all_inherited, 'Codable')").collect()} == {1, 2, 3, 4, 6}

@@ -218,7 +218,7 @@ def _module_edges(spark, d):
     o = table(spark, d, "occurrences").where("usr is not null and usr <> '' and module is not null")
     owner = index.definitions(o).groupBy("usr").agg(F.min("module").alias("dst"), F.max("module").alias("hi")).where("dst = hi").drop("hi")
     refs = o.where(index.has_roles(F.col("roles"), "reference")).select("usr", "module").distinct()
-    return graph.edges(refs.join(owner, "usr").where("module < dst"), "module", "dst")
+    return graph.edges(refs.join(owner, "usr").where("module <> dst"), "module", "dst")
 
 
 _MODULES_SQL = """o AS (SELECT * FROM occurrences WHERE usr IS NOT NULL AND usr <> '' AND module IS NOT NULL),
@@ -235,7 +235,7 @@ def reachable(spark, d):
 
 @query(f"WITH {_MODULES_SQL} SELECT src, dst FROM e WHERE false")
 def acyclic_core(spark, d):
-    """Edges that may lie on a cycle; module order makes this graph acyclic, so none is left."""
+    """Edges that may lie on a cycle: what is left without nodes that no edge enters or leaves."""
     return graph.trimmed(_module_edges(spark, d)).select("src", "dst")
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import edits, graph, index, layering, report
+from factloom.plans import relations
 from factloom.sources import readers
 from factloom.streaming import editor
 
@@ -43,6 +44,25 @@ def test_reachability_and_cycles(spark):
     assert graph.first_cycle(chain) == []
 
 
+def test_module_graph_keeps_edges_of_either_order(spark, tmp_path):
+    pairs = {("A", "D"), ("D", "B"), ("B", "C"), ("C", "D"), ("C", "E"), ("F", "A"), ("B", "D")}
+    modules = sorted({m for p in pairs for m in p})
+    rows = [(f"s:{m}", m, 2) for m in modules] + [(f"s:{dst}", src, 4) for src, dst in pairs] + [("s:A", "A", 4), (None, "A", 4), ("s:B", None, 4)]
+    spark.createDataFrame(rows, "usr string, module string, roles int").write.parquet(f"{tmp_path}/occurrences.parquet")
+    core = set(pairs)
+    while core != (core := {(a, b) for a, b in core if a in {y for _, y in core} and b in {x for x, _ in core}}):
+        pass
+    seen, todo = {"A"}, ["A"]
+    while todo:
+        n = todo.pop()
+        new = {b for a, b in pairs if a == n} - seen
+        seen, todo = seen | new, [*todo, *new]
+    assert core == {("D", "B"), ("B", "C"), ("C", "D"), ("B", "D")}
+    got = [tuple(r) for r in relations.acyclic_core(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(core)
+    assert {r["node"] for r in relations.reachable(spark, str(tmp_path)).collect()} == seen - {"A"} == {"B", "C", "D", "E"}
+
+
 def test_folder_layout(spark):
     files = [f"Sources/App/{p}/x.swift" for p in ("Orders/Models", "Orders/Views", "Orders/ViewModels", "Profile/Models", "Profile/Helpers")]
     df = spark.createDataFrame([(f,) for f in files], "path string")

@@ -37,6 +37,19 @@ def test_learned_order_fills_fields_without_timestamps(spark):
     assert run(spark, rows)[90]["output_file"] == "/o/release/M.build/z.o" and run(spark, rows)[90]["survivor_id"] == 90
 
 
+def test_own_timestamps_come_before_learned_transitions(spark):
+    # Over all groups release follows debug, arm follows x86 and the flag turns on.
+    rows = [unit(10 * g + k, "M", f"/g{g}.swift", f"/o/{v}/M.build/x{g}.o", at=at) for g in range(4) for k, (v, at) in enumerate((("debug", 1), ("release", 2)))]
+    rows += [unit(100 + 10 * g + k, "N", f"/g{g}.swift", f"/o/{v}/debug/N.build/x{g}.o", at=at, tool=tool) for g in range(4) for k, (v, at, tool) in enumerate((("x86", 1, False), ("arm", 2, True)))]
+    rows += [unit(i, "M", "/own.swift", f"/o/{v}/M.build/{i}.o", at=at) for i, v, at in ((200, "release", 3), (201, "debug", 8), (202, "release", None))]
+    rows += [unit(i, "N", "/same.swift", f"/o/{v}/debug/N.build/z.o", at=at, tool=tool) for i, v, at, tool in ((210, "x86", 5, False), (211, "arm", None, True))]
+    rows += [unit(i, "N", "/back.swift", f"/o/{v}/debug/N.build/z.o", at=at, tool=tool) for i, v, at, tool in ((220, "arm", 5, True), (221, "x86", None, False))]
+    rows += [unit(i, "N", "/none.swift", f"/o/{v}/debug/N.build/z.o", at=None, tool=tool) for i, v, tool in ((230, "arm", True), (231, "x86", False))]
+    got = {g: (r["output_file"], r["is_plugin_tool"]) for g, r in run(spark, rows).items() if g >= 200}
+    arm = ("/o/arm/debug/N.build/z.o", True)
+    assert got == {200: ("/o/debug/M.build/201.o", False), 210: arm, 220: arm, 230: arm}
+
+
 def brute_passage(h):
     best = 0
     for a in range(len(h)):

@@ -137,10 +137,40 @@ def test_spam():
         assert spam.score(t)[-1], t
 
 
-def test_recurrence():
-    assert spam.recurrence(["a"] * 3) == (0.0, 0.0, 0.0)
-    r, regular, periodic = spam.recurrence("a b c d".split() * 10)
-    assert r > 0.8 and regular > 0.99 and periodic > 0.5
+def test_beat():
+    assert spam.beat([]).recurrence == spam.beat(["a"] * 3).recurrence == 0.0
+    b = spam.beat("x y z q".split() * 10)
+    assert b.recurrence > 0.8 and b.regularity > 0.99 and b.periodicity > 0.5
+    # Every pair of equal content words counts at its distance, as in a loop over all lags.
+    random.seed(5)
+    for n in (7, 60, 300):
+        w = [random.choice("k l m n o p the of".split()) for _ in range(n)]
+        c = [x for x in w if x not in spam.FUNCTION_WORDS]
+        auto = [sum(w[k] == w[k + lag] and w[k] in c for k in range(n - lag)) / max(1, len(c) - lag) for lag in range(1, len(c) // 2 + 1)]
+        assert abs(spam.beat(w).periodicity - min(1.0, max(auto) - sum(auto) / len(auto))) < 1e-9
+        seen = sum(x in w[:k] for k, x in enumerate(w) if x in c)
+        assert abs(spam.beat(w).recurrence - seen / len(c)) < 1e-9
+    # A text beyond the lag window is measured window by window, none of it left out.
+    long = [f"w{k}" for k in range(spam.WINDOW)] + ["buy", "now"] * (2 * spam.WINDOW)
+    assert 0.7 < spam.beat(long).recurrence < 0.85
+
+
+def test_sentences_without_listed_function_words_are_no_list():
+    polish = "Wczoraj pojechaliśmy nad jezioro z całą rodziną. Woda była zimna, ale słońce mocno grzało. Dzieci zbudowały zamek z piasku i muszelek. Wieczorem rozpaliliśmy ognisko obok lasu."
+    turkish = "Geçen hafta sonu ailemle birlikte göle gittik. Hava çok sıcaktı ve su berraktı. Çocuklar kumdan kaleler yaptı. Akşam yemeğinde balık pişirdik."
+    for t in (polish, turkish, "我们昨天去了湖边。天气很好。孩子们在沙滩上玩。晚上我们吃了鱼。然后我们回家了。" * 2):
+        assert not spam.score(t)[-1], t
+    for t in ("best cheap shoes for the best cheap shoes and the cheap shoes of the best shoes in the cheap shoes shop. " * 40, "how to check the code for " * 200, "Buy our cheap shoes now. We sell the best cheap shoes and cheap shoes for you. " * 9):
+        assert spam.score(t)[-1] and spam.score(t)[-2] == "repetition", t
+
+
+def test_recurrence_decides(monkeypatch):
+    random.seed(2)
+    few = " ".join(random.choice("cheap kit swift course best price".split()) for _ in range(150))
+    many = ", ".join(f"noun{chr(97 + i % 26)}{chr(97 + i // 26)} thing{chr(97 + i % 23)}" for i in range(40))
+    assert spam.score(few)[-2:] == ("repetition", True) and spam.score(many)[-2:] == ("list", True)
+    monkeypatch.setattr(spam, "stuffed", lambda *_: False)
+    assert not spam.score(few)[-1] and spam.score(many)[-1]
 
 
 def test_spam_table(spark):

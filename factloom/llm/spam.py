@@ -106,7 +106,7 @@ def segments(text: str) -> list[Segment]:
             shape = "code"
         elif f >= SENTENCE_SHARE * n and f and few:
             # Names such as a and in stand in code as well.
-            shape = "sentence" if _END.search(s) or not (_CODE.match(s) or len(_SIGNS.findall(s)) * 4 > n) else "code"
+            shape = "sentence" if _END.search(s) or not (_CODE.match(s) or _REPORT.match(s) or len(_SIGNS.findall(s)) * 4 > n) else "code"
         elif _REPORT.match(s):
             shape = "report"
         elif not links and not tags and (_CODE.match(s) or len(_SIGNS.findall(s)) * 4 > n):

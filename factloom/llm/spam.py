@@ -51,7 +51,7 @@ SENTENCE_SHARE = 0.12
 #: Terms of a lag window. Recurrences are looked for inside one window, lags up to half of it.
 WINDOW = 1024
 #: A gap up to this many terms is a close recurrence; in sentences, which may be repeated as a whole, a shorter one.
-CLOSE, CLOSE_IN_SENTENCES = 32, 12
+CLOSE, CLOSE_IN_SENTENCES = 32, 8
 #: Fewer terms than this are no heap.
 LEAST_TERMS = 12
 #: Links and tags are the beat of a section if the gaps between them have at most this mean.
@@ -188,7 +188,7 @@ def marked(terms: list[str]) -> bool:
 
 
 def stuffed(b: Beat, sentences: bool) -> bool:
-    """Unnaturally dense or regular repetition. Sentences repeat their subject, so most of their content words must recur within a sentence's length."""
+    """Unnaturally dense or regular repetition. Sentences repeat their subject, so most of their content words must recur within a few words."""
     if sentences:
         return b.dense >= 0.5 and b.distinct <= 0.4
     return b.close >= 0.3 or b.recurrence >= 0.5 or b.periodicity >= 0.2 or (b.regularity >= 0.5 and b.recurrence >= 0.2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import matcher
-from factloom.operators.hierarchy import cyclic_ancestors, descendants, hierarchy, subtree_sizes
+from factloom.operators.hierarchy import cyclic_ancestors, hierarchy, with_descendants
 from factloom.session import table
 
 _BEFORE = r"^(?:@[\p{L}_][\p{L}\p{N}_.]*(?:\([^)]*\))?\s+)+"
@@ -60,23 +60,15 @@ def p4_paths(spark, sf_dir: str) -> DataFrame:
     """Every class with a superclass or subclasses: path of names from the root, state, and size and height below it."""
     types = table(spark, sf_dir, "type_decls")
     names = newest_types(types).select(F.col("type_id").alias("id"), F.concat_ws(".", "module", "qualified_name").alias("label"))
-    tree = hierarchy(superclass_links(types))
+    tree = hierarchy(superclass_links(types), paths=True)
     steps = tree.select("node", F.posexplode_outer("path").alias("at", "id")).join(names, "id", "left")
     paths = steps.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]), " > ").alias("path"))
-    sizes = subtree_sizes(tree).withColumnRenamed("ancestor", "node")
-    return (
-        tree.drop("path")
-        .join(paths, "node")
-        .join(sizes, "node", "left")
-        .select(
-            F.col("node").alias("type_id"), "parent", "root", "depth", "state", F.when(F.col("state") == "tree", F.col("path")).alias("path"),
-            F.when(F.col("state") == "tree", F.coalesce("n_descendants", F.lit(0))).alias("n_descendants"), F.when(F.col("state") == "tree", F.coalesce("height", F.lit(0))).alias("height"),
-        )
-    )
+    known = lambda c: F.when(F.col("state") == "tree", F.col(c)).alias(c)
+    return tree.drop("path").join(paths, "node").select(F.col("node").alias("type_id"), "parent", "root", "depth", "state", known("path"), known("n_descendants"), known("height"))
 
 
 def p4_descendants(spark, sf_dir: str) -> DataFrame:
-    return descendants(class_hierarchy(spark, sf_dir))
+    return with_descendants(superclass_links(table(spark, sf_dir, "type_decls")))[1]
 
 
 def inherited_names(types: DataFrame) -> DataFrame:
@@ -87,8 +79,8 @@ def inherited_names(types: DataFrame) -> DataFrame:
     """
     newest = newest_types(types)
     entries = newest.select(F.col("type_id").alias("ancestor"), F.explode("inherited").alias("entry")).select("ancestor", plain_entry("entry").alias("name")).where("name <> ''").distinct()
-    tree = hierarchy(superclass_links(types))
-    up = descendants(tree).select("ancestor", F.col("descendant").alias("node"), "distance").unionByName(cyclic_ancestors(tree)).withColumnRenamed("distance", "level")
+    tree, lists = with_descendants(superclass_links(types))
+    up = lists.select("ancestor", F.col("descendant").alias("node"), "distance").unionByName(cyclic_ancestors(tree)).withColumnRenamed("distance", "level")
     own = newest.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("node"), F.lit(0).alias("level"))
     return up.unionByName(own).join(entries, "ancestor").groupBy("node", "name").agg(F.min("level").alias("level"))
 

@@ -223,7 +223,7 @@ def _module_edges(spark, d):
 
 _MODULES_SQL = """o AS (SELECT * FROM occurrences WHERE usr IS NOT NULL AND usr <> '' AND module IS NOT NULL),
 w AS (SELECT usr, min(module) AS dst FROM o WHERE roles & 3 <> 0 GROUP BY usr HAVING min(module) = max(module)),
-e AS (SELECT DISTINCT o.module AS src, w.dst FROM o JOIN w USING (usr) WHERE roles & 4 = 4 AND o.module < w.dst)"""
+e AS (SELECT DISTINCT o.module AS src, w.dst FROM o JOIN w USING (usr) WHERE roles & 4 = 4 AND o.module <> w.dst)"""
 
 
 @query(f"WITH RECURSIVE {_MODULES_SQL}, r AS (SELECT dst AS node FROM e WHERE src = (SELECT min(src) FROM e) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT node FROM r")
@@ -233,7 +233,10 @@ def reachable(spark, d):
     return graph.reachable(e, root).select("node")
 
 
-@query(f"WITH {_MODULES_SQL} SELECT src, dst FROM e WHERE false")
+@query(
+    f"""WITH RECURSIVE {_MODULES_SQL}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), ring AS (SELECT src AS node FROM r WHERE src = dst),
+    held AS ((SELECT src AS node FROM r WHERE dst IN (FROM ring) UNION FROM ring) INTERSECT (SELECT dst FROM r WHERE src IN (FROM ring) UNION FROM ring)) SELECT src, dst FROM e WHERE src IN (FROM held) AND dst IN (FROM held)"""
+)
 def acyclic_core(spark, d):
     """Edges that may lie on a cycle: what is left without nodes that no edge enters or leaves."""
     return graph.trimmed(_module_edges(spark, d)).select("src", "dst")

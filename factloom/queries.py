@@ -35,7 +35,7 @@ _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 _CLOSURE = _LINKS + f""",
 nt AS (SELECT type_id, module, qualified_name, inherited FROM (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY observed_at DESC NULLS LAST, received_at DESC NULLS LAST) AS rn FROM type_decls WHERE type_id IS NOT NULL) WHERE rn = 1),
 en AS (SELECT DISTINCT type_id, {_PLAIN} AS name FROM (SELECT type_id, unnest(inherited) AS e FROM nt)),
-pa AS (SELECT type_id AS node, type_id AS anc, 0 AS d FROM nt UNION ALL SELECT up.node, up.anc, up.d FROM up JOIN tree ON tree.node = up.node),
+pa AS (SELECT type_id AS node, type_id AS anc, 0 AS d FROM nt UNION ALL SELECT node, anc, min(d) FROM up GROUP BY node, anc),
 cl AS (SELECT pa.node, en.name, min(pa.d) AS level FROM pa JOIN en ON en.type_id = pa.anc WHERE en.name <> '' GROUP BY 1, 2)"""
 
 SQL = {

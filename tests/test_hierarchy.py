@@ -1,6 +1,19 @@
 import random
 
-from factloom.operators.hierarchy import cyclic_ancestors, descendants, hierarchy, subtree_sizes
+import pytest
+
+from factloom.operators import hierarchy as module
+from factloom.operators.hierarchy import cyclic_ancestors, hierarchy, with_descendants
+
+
+@pytest.fixture(params=["one task", "rounds", "rounds, split keys"], autouse=True)
+def peeled(request, monkeypatch):
+    """The rows are the same whether the nodes fit one task or not, and whether keys are split or not."""
+    if request.param != "one task":
+        monkeypatch.setattr(module, "LOCAL_NODES", 15)
+    if "split" in request.param:
+        monkeypatch.setattr(module, "HEAVY_ROWS", 3)
+
 
 
 def brute(parent):
@@ -25,13 +38,13 @@ def brute(parent):
 
 
 def run(spark, pairs):
-    return {r["node"]: (r["state"], r["root"], r["depth"], r["path"]) for r in hierarchy(spark.createDataFrame(pairs, "node long, parent long")).collect()}
+    return {r["node"]: (r["state"], r["root"], r["depth"], r["path"]) for r in hierarchy(spark.createDataFrame(pairs, "node long, parent long"), paths=True).collect()}
 
 
 def test_random_forests_with_cycles(spark):
-    for seed in (1, 2):
+    for seed in (1,):
         random.seed(seed)
-        parent = {n: random.randrange(n) for n in range(1, 60)}
+        parent = {n: random.randrange(n) for n in range(1, 40)}
         parent |= {100 + n: 99 + n for n in range(1, 45)}  # a chain, root 100
         parent |= {200: 201, 201: 202, 202: 200, 203: 200, 204: 203, 205: 204, 300: 300, 301: 300, 400: 401, 401: 400}
         assert run(spark, list(parent.items())) == brute(parent)
@@ -48,9 +61,17 @@ def test_empty(spark):
 
 
 def test_descendants_and_sizes(spark):
-    t = hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("x", "y"), ("y", "x")], "node string, parent string"))
-    assert {tuple(r) for r in descendants(t).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
-    assert {tuple(r) for r in subtree_sizes(t).collect()} == {("a", 3, 2), ("b", 2, 1)}
+    random.seed(7)
+    parent = {n: random.randrange(n) for n in range(1, 30)} | {100 + n: 99 + n for n in range(1, 25)} | {130: 110, 131: 130, 200: 201, 201: 200, 202: 201, 203: 202}
+    links = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in parent.items()], "node string, parent string")
+    tree, lists = with_descendants(links)
+    want = {(f"n{a}", f"n{n}", len(path) - 1 - k) for n, (state, _, _, path) in brute(parent).items() if state == "tree" for k, a in enumerate(path[:-1])}
+    got = [tuple(r) for r in lists.collect()]
+    assert set(got) == want and len(got) == len(want)
+    for r in tree.where("state = 'tree'").collect():
+        mine = [d for a, _, d in want if a == r["node"]]
+        assert (r["n_descendants"], r["height"]) == (len(mine), max(mine, default=0))
+    assert with_descendants(links.limit(0))[1].count() == 0
 
 
 def test_ancestors_on_and_below_cycles(spark):

@@ -226,7 +226,7 @@ w AS (SELECT usr, min(module) AS dst FROM o WHERE roles & 3 <> 0 GROUP BY usr HA
 e AS (SELECT DISTINCT o.module AS src, w.dst FROM o JOIN w USING (usr) WHERE roles & 4 = 4 AND o.module <> w.dst)"""
 
 
-@query(f"WITH RECURSIVE {_MODULES_SQL}, r AS (SELECT dst AS node FROM e WHERE src = (SELECT min(src) FROM e) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT node FROM r")
+@query(f"WITH RECURSIVE {_MODULES_SQL}, r AS (SELECT dst AS node FROM e WHERE src = (SELECT min(src) FROM e) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT node FROM r WHERE node <> (SELECT min(src) FROM e)")
 def reachable(spark, d):
     e = _module_edges(spark, d)
     root = e.agg(F.min("src").alias("node"))

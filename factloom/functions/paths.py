@@ -64,6 +64,14 @@ def under(path: Column, directories: Sequence[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
 
+def uri(path: Column) -> Column:
+    """A relative path as a URI reference: UTF-8 bytes beyond letters, digits and -._~!$&'()*+,;=@/ as percent escapes."""
+    escaped = F.url_encode(path)
+    for code, sign in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2B", "+"), ("%2C", ","), ("%3B", ";"), ("%3D", "="), ("%40", "@")):
+        escaped = F.replace(escaped, F.lit(code), F.lit(sign))
+    return escaped
+
+
 def last_component(path: Column) -> Column:
     return F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)
 
@@ -79,6 +87,7 @@ def extension(path: Column) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """All folders above a path, topmost first."""
+    """All folders above a path, topmost first; a file at the top has none."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    up = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return F.when(F.size(parts) > 1, up).otherwise(F.array().cast("array<string>"))

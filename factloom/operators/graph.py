@@ -77,17 +77,21 @@ def _compact(seen: list[DataFrame]) -> list[DataFrame]:
     return [cut(u)]
 
 
-def trimmed(e: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Edges that may lie on a cycle: nodes without outgoing or incoming edges are taken away until none is left."""
+def trimmed(e: DataFrame, sides: tuple[str, ...] = ("src", "dst"), max_rounds: int = 10_000) -> DataFrame:
+    """Edges between nodes that lie on a cycle or between cycles: nodes without outgoing or incoming edges are taken
+    away until none is left. sides ("src",): only those without outgoing edges, so what leads to a cycle stays."""
     left = cut(e.where("src is not null and dst is not null").select("src", "dst", "seq"))
     n = left.count()
     for _ in range(max_rounds):
         if not n:
             return left
-        out = left.select(F.col("src").alias("node")).distinct()
-        into = left.select(F.col("dst").alias("node")).distinct()
-        both = out.join(into, "node")
-        left2 = cut(left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        if "dst" in sides:
+            nodes = nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node")
+        left2 = left.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        if "dst" in sides:
+            left2 = left2.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+        left2 = cut(left2)
         m = left2.count()
         left, n, same = left2, m, n == m
         if same:
@@ -95,38 +99,35 @@ def trimmed(e: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("the graph was not trimmed")
 
 
-def first_cycle(e: DataFrame, max_edges: int = 1_000_000) -> list:
-    """The first closed path in the order of edges, [] if there is none.
+def first_cycle(e: DataFrame, max_rounds: int = 60) -> list:
+    """The cycle that a depth-first search finds first, closed by its first node; [] if there is none.
 
-    Edges off every cycle are trimmed away on the cluster; what is left is searched on the driver, after its size is
-    checked. Beyond max_edges only the first edge of each node is followed, which still leads into a cycle.
+    The search takes nodes as they appear in the edges (by seq, src, dst; the source of an edge before its target) and
+    each node's edges in that order. What leads to no cycle is trimmed away first, so the search never has to turn
+    back: it follows first edges from the first node that is left. These are followed on the cluster, the steps doubled
+    in each round; only the cycle itself comes to the driver.
     """
-    core = trimmed(e)
-    if core.count() > max_edges:
-        first = core.groupBy("src").agg(F.min_by("dst", F.struct("seq", "dst")).alias("dst"), F.min("seq").alias("seq"))
-        core = trimmed(first.select("src", "dst", "seq"))
-        if core.count() > max_edges:
-            raise RuntimeError(f"more than {max_edges} edges lie on cycles")
-    rows = core.orderBy("seq", "src", "dst").collect()
-    follow: dict = {}
-    for r in rows:
-        follow.setdefault(r["src"], []).append(r["dst"])
-    state: dict = {}
-    for root in follow:
-        if root in state:
-            continue
-        path, todo = [root], [iter(follow.get(root, []))]
-        state[root] = 1
-        while todo:
-            for nxt in todo[-1]:
-                if state.get(nxt) == 1:
-                    return [*path[path.index(nxt) :], nxt]
-                if nxt not in state:
-                    state[nxt] = 1
-                    path.append(nxt)
-                    todo.append(iter(follow.get(nxt, [])))
-                    break
-            else:
-                state[path.pop()] = 2
-                todo.pop()
-    return []
+    live = trimmed(e, ("src",))
+    at = F.struct("seq", "src", "dst")
+    # All edges tell the order of nodes, also those to nodes that are gone.
+    whole = e.where("src is not null and dst is not null")
+    seen = whole.select(F.col("src").alias("node"), F.struct(at, F.lit(0)).alias("at")).unionByName(whole.select(F.col("dst").alias("node"), F.struct(at, F.lit(1)).alias("at")))
+    start = seen.join(live.select(F.col("src").alias("node")).distinct(), "node", "left_semi").agg(F.min_by("node", "at").alias("node")).first()["node"]
+    if start is None:
+        return []
+    jump = cut(live.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", at).alias("next")))
+    walk = cut(jump.where(F.col("node") == F.lit(start)).select("node", F.lit(0).cast("bigint").alias("step")))
+    for k in range(max_rounds):
+        ahead = walk.join(jump, "node").select(F.col("next").alias("node"), (F.col("step") + F.lit(1 << k)).alias("step"))
+        walk = cut(walk.unionByName(ahead).groupBy("node").agg(F.min("step").alias("step")))
+        m = walk.count()
+        if m < (1 << (k + 1)):
+            # Fewer nodes than steps: the walk has come back to a node, its last step leads there.
+            break
+        jump = cut(jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("_next")), "next").select("node", F.col("_next").alias("next")))
+    else:
+        raise RuntimeError(f"the walk is longer than 2 to the power of {max_rounds}")
+    last = walk.agg(F.max_by("node", "step").alias("node")).first()["node"]
+    back = live.where(F.col("src") == F.lit(last)).agg(F.min_by("dst", at).alias("node")).first()["node"]
+    ring = walk.where(F.col("step") >= walk.where(F.col("node") == F.lit(back)).select("step").scalar()).orderBy("step").select("node").collect()
+    return [*[r["node"] for r in ring], back]

@@ -35,7 +35,8 @@ def closure(types: DataFrame, extensions: DataFrame | None = None, aliases: Data
     """qualified_name, ancestor, level: each name a declaration inherits, at its smallest level (1: its own clause).
 
     types: qualified_name, inherited (classes, structs, enums, actors and protocols). extensions: name, inherited; they
-    count for the declaration they extend. aliases: name, type_text; the last of a name holds (by text order), chains
+    count for the declaration they extend. aliases: name, type_text and, if there, path and seq; the last of a name in
+    source order holds (path, then seq; without these by text), chains
     are followed, circles end. Ancestors are names as written, without attributes and generic arguments, and what they
     resolve to; unknown names stop there; circular inheritance ends since no name is taken twice. Null lists are empty.
     """
@@ -46,7 +47,7 @@ def closure(types: DataFrame, extensions: DataFrame | None = None, aliases: Data
         own = own.unionByName(e.join(resolved(e, declared), "name").select("qualified_name", "entry"))
     edges = own.withColumn("name", _plain(F.col("entry"))).where("name <> ''").select("qualified_name", "name").distinct()
     if aliases is not None:
-        a = aliases.where("name is not null and type_text is not null").groupBy("name").agg(F.max("type_text").alias("target")).select("name", _plain(F.col("target")).alias("target"))
+        a = aliases.where("name is not null and type_text is not null").groupBy("name").agg(F.max_by("type_text", F.struct(*[c for c in ("path", "seq") if c in aliases.columns], "type_text")).alias("target")).select("name", _plain(F.col("target")).alias("target"))
         a = cut(a)
         for _ in range(20):
             # Each pass doubles the length of alias chains that are followed; circles stay among themselves.

@@ -73,17 +73,27 @@ def run(rules: Sequence[Rule], only: Sequence[str] = (), skip: Sequence[str] = (
     if events is None:
         raise ValueError("no rule is selected")
     if baseline is not None:
-        b = baseline.select(F.col("rule").alias("rule_id"), "name", "path")
-        events = accepted(events, b, ("rule_id", "name", "path"))
+        events = accepted(events, scoped_baseline(baseline), ("rule_id", "name", "path"))
     found = events.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("rule_id").agg(F.sum("checked_count").alias("checked_count")).join(found, "rule_id", "left")
     return Report(events, counts.select("rule_id", "checked_count", F.coalesce("n", F.lit(0)).alias("violation_count")))
 
 
+def scoped_baseline(baseline: DataFrame) -> DataFrame:
+    """rule_id, name, path of a baseline's entries. An entry of a nested baseline (folder) has a path below that folder
+    and accepts nothing elsewhere; an entry without path that leads out of its folder accepts nothing."""
+    if "folder" not in baseline.columns:
+        return baseline.select(F.col("rule").alias("rule_id"), "name", "path")
+    folder = F.coalesce(F.rtrim(F.col("folder"), F.lit("/")), F.lit(""))
+    inside = F.when((folder == "") | (folder == "."), F.col("path")).otherwise(F.concat(folder, F.lit("/"), F.col("path")))
+    kept = baseline.where(~F.coalesce(F.col("path").rlike(r"(?:^|/)\.\.(?:/|$)"), F.lit(False)))
+    return kept.select(F.col("rule").alias("rule_id"), "name", inside.alias("path"))
+
+
 def record_baseline(report: Report) -> DataFrame:
     return report.events.select(F.col("rule_id").alias("rule"), "name", "path").distinct().orderBy("rule", "path", "name")
 
 
 def stale_entries(baseline: DataFrame, report: Report) -> DataFrame:
     """Entries of a baseline that match no violation of a run without it."""
-    return stale(baseline.select("rule", "name", "path"), record_baseline(report))
+    return stale(scoped_baseline(baseline).withColumnRenamed("rule_id", "rule"), record_baseline(report))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.functions import paths
 from factloom.operators.matcher import Matcher, quoted, two_valued, whole_name
@@ -175,11 +176,21 @@ class Violations:
         return replace(self, offenders=self.offenders.where(two_valued(condition)))
 
     def erased(self) -> DataFrame:
-        """Offenders in one shape for all tables: rule, name, path, line, column."""
+        """Offenders in one shape for all tables: rule, name, path, line, column. The place is that of the witness if it
+        has one of its own, else the row's."""
         c = lambda n: F.col(n) if n else F.lit(None)
+        seen = self.offenders.schema["witness"].dataType if "witness" in self.offenders.columns else None
+        held = set(seen.names) if isinstance(seen, StructType) else set()
+
+        def place(role: str | None, *names: str) -> Column:
+            # Line and column belong together: a witness without a line has no place.
+            own = next((F.col(f"witness.{n}") for n in names if n in held and "line" in held), None)
+            return c(role) if own is None else F.when(F.col("witness.line").isNotNull(), own).otherwise(c(role))
+
         return self.offenders.select(
-            F.lit(self.rule).alias("rule"), c(self.roles.name).cast("string").alias("name"), c(self.roles.path).cast("string").alias("path"), c(self.roles.line).cast("bigint").alias("line"), c(self.roles.column).cast("bigint").alias("column")
-        )
+            F.lit(self.rule).alias("rule"), c(self.roles.name).cast("string").alias("name"), place(self.roles.path, "path").cast("string").alias("path"),
+            place(self.roles.line, "line").cast("bigint").alias("line"), place(self.roles.column, "col", "column").cast("bigint").alias("column"),
+        )
 
 
 def combined(*checks: Violations) -> tuple[DataFrame, DataFrame]:

@@ -65,9 +65,9 @@ def sel_prefixed(spark, d):
     return types(spark, d).prefixed("Total", "Base").df.select(*_KEY)
 
 
-@query("SELECT type_id, name, path, line FROM type_decls WHERE regexp_full_match(name, '(Main|Mini)[A-Z][a-z]+(Row|Kind)')")
+@query("SELECT type_id, name, path, line FROM type_decls WHERE regexp_full_match(name, '[A-Z][a-z]+[A-Z][a-z]+(Row|Kind)')")
 def sel_name_matching(spark, d):
-    return types(spark, d).name_matching("(Main|Mini)[A-Z][a-z]+(Row|Kind)").df.select(*_KEY)
+    return types(spark, d).name_matching("[A-Z][a-z]+[A-Z][a-z]+(Row|Kind)").df.select(*_KEY)
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN ('NATION_3', 'NATION_4')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -70,9 +70,14 @@ def build_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.try_element_at(F.filter("r.target.rule.attribute", lambda a: a["name"] == "tags"), F.lit(1))["stringListValue"], F.array().cast("array<string>")).alias("tags"), F.col("r.configurationId").alias("id"),
     ).join(configs, "id", "left")
     targets = t.select("label", "checksum", "rule_class", "tags")
-    known = targets.select(F.col("label").alias("dst_label"), F.col("checksum").alias("dst_checksum")).distinct()
-    edges = t.select(F.col("label").alias("src_label"), F.col("checksum").alias("src_checksum"), F.explode("inputs").alias("dst_label")).withColumn("dst_checksum", F.col("src_checksum"))
-    return targets, edges.join(known, ["dst_label", "dst_checksum"], "left_semi").distinct()
+    w = Window.partitionBy("label", "checksum")
+    again = F.count(F.lit(1)).over(w) > 1
+    targets = targets.withColumn("label", F.when(again, F.raise_error(F.concat(F.lit("a target comes twice with one configuration: "), "label"))).otherwise(F.col("label")))
+    known = targets.select(F.col("label").alias("dst_label"), F.col("checksum").alias("dst_checksum")).withColumn("known", F.lit(True))
+    edges = t.select(F.col("label").alias("src_label"), F.col("checksum").alias("src_checksum"), F.explode("inputs").alias("dst_label")).withColumn("dst_checksum", F.col("src_checksum")).distinct()
+    edges = edges.join(known, ["dst_label", "dst_checksum"], "left")
+    missing = F.raise_error(F.concat("src_label", F.lit(" depends on an unknown target: "), "dst_label"))
+    return targets, edges.select("src_label", "src_checksum", F.when(F.col("known"), F.col("dst_label")).otherwise(missing).alias("dst_label"), "dst_checksum")
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:

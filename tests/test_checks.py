@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,11 +41,40 @@ def test_reachability_and_cycles(spark):
     roots = spark.createDataFrame([("A",)], "node string")
     assert {(r["node"], r["level"]) for r in graph.reachable(e, roots).collect()} == {("C", 1), ("B", 1), ("D", 2)}
     assert {r["node"] for r in graph.reachable(e, spark.createDataFrame([("D",)], "node string"), reverse=True).collect()} == {"C", "B", "A"}
-    assert graph.first_cycle(e) == ["B", "D", "B"]
+    assert graph.first_cycle(e) == ["D", "B", "D"]  # A, C, D, B, and back to D
     chain = graph.edges(spark.createDataFrame([(1, 2), (2, 3)], "a int, b int"), "a", "b")
     assert graph.first_cycle(chain) == []
 
 
+def test_first_cycle_equals_a_depth_first_search(spark):
+    import random
+
+    def search(pairs):
+        follow, nodes = {}, []
+        for a, b in dict.fromkeys(pairs):
+            follow.setdefault(a, []).append(b)
+            nodes += [a, b]
+        done = set()
+
+        def visit(n, path):
+            for x in follow.get(n, ()):
+                if x in path:
+                    return [*path[path.index(x) :], x]
+                if x not in done and (got := visit(x, [*path, x])):
+                    return got
+            done.add(n)
+            return []
+
+        return next((c for n in dict.fromkeys(nodes) if n not in done and (c := visit(n, [n]))), [])
+
+    random.seed(3)
+    cases = [[("a", "z"), ("p", "q"), ("q", "p"), ("z", "y"), ("y", "z")], [("a", "z"), ("p", "q"), ("q", "p"), ("q", "a"), ("z", "y"), ("y", "z")], [("s", "s")]]
+    cases += [[(random.choice("abcdefgh"), random.choice("abcdefgh")) for _ in range(n)] for n in (5, 9)]
+    for pairs in cases:
+        e = graph.edges(spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(pairs)], "a string, b string, n int"), "a", "b", "n")
+        assert graph.first_cycle(e) == search(pairs), pairs
+
+
 def test_module_graph_keeps_edges_of_either_order(spark, tmp_path):
     pairs = {("A", "D"), ("D", "B"), ("B", "C"), ("C", "D"), ("C", "E"), ("F", "A"), ("B", "D")}
     modules = sorted({m for p in pairs for m in p})
@@ -70,6 +101,28 @@ def test_folder_layout(spark):
     assert got == {("Sources/App/Profile", "ViewModels", "missing"), ("Sources/App/Profile", "Views", "missing"), ("Sources/App/Profile", "Helpers", "unexpected")}
 
 
+def test_files_at_the_top_are_no_folders(spark):
+    df = spark.createDataFrame([("README.md",), ("Sources/A/x.swift",)], "path string")
+    assert [r["folder"] for r in layering.folder_groups(df, "*").collect()] == ["Sources"]
+    assert {tuple(r) for r in layering.folder_layout(df, "*", ["B"]).collect()} == {("Sources", "B", "missing"), ("Sources", "A", "unexpected")}
+    assert {tuple(r) for r in layering.nearest(df, spark.createDataFrame([("", 1), ("README.md", 2)], "folder string, v int")).collect()} == {("README.md", "", 1), ("Sources/A/x.swift", "", 1)}
+
+
+def test_build_graphs_are_whole_or_fail(spark, tmp_path):
+    def export(*targets):
+        rows = [{"target": {"type": "RULE", "rule": {"name": n, "ruleClass": "lib", "ruleInput": list(d), "attribute": []}}, "configurationId": 1} for n, *d in targets]
+        p = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        p.write_text(json.dumps({"results": rows, "configurations": [{"id": 1, "checksum": "c", "isTool": False}]}))
+        return readers.build_graph(spark, str(p))
+
+    t, e = export(("//a", "//b"), ("//b",))
+    assert {(r["src_label"], r["dst_label"]) for r in e.collect()} == {("//a", "//b")} and t.count() == 2
+    with pytest.raises(Exception, match="unknown target: //x"):
+        export(("//a", "//x"))[1].collect()
+    with pytest.raises(Exception, match="comes twice"):
+        export(("//a",), ("//a",))[0].collect()
+
+
 def test_baselines_match_nulls(spark):
     s = "rule string, name string, path string"
     rows = spark.createDataFrame([("r", None, "a"), ("r", "n", "a"), ("r", "n", "b")], s)
@@ -92,6 +145,18 @@ def test_reports(spark):
     assert report.compiler_lines(e).first()[0] == "x:y,z.swift:3:4: error: a b, 5%"
     assert report.annotation_lines(e).first()[0] == "::error file=x%3Ay%2Cz.swift,line=3::a%0Ab, 5%25"
     assert '"startLine":3' in report.sarif_results(e).first()[0]
+    some = "rule string, level string, message string, path string, line int, column int, kind string"
+    e = spark.createDataFrame([("r", "error", "m\"", "Sources/My App/a#1.swift", 3, 4, None), ("r", "warning", "w", None, None, None, "warning"), (None, "error", None, "ä.swift", 1, None, "diagnostic")], some)
+    rules_ = spark.createDataFrame([("r", "a rule", None, "error", "R.swift", 1, 2)], "id string, name string, hint string, level string, path string, line int, column int")
+    assert sorted(r[0] for r in report.compiler_lines(e, rules_, quiet=False).collect()) == sorted(['Sources/My App/a#1.swift:3:4: error: m"', "<unknown>: warning: w", "ä.swift:1: error: ", "R.swift:1:2: note: rule 'r' is declared here", "Checked 1 rule: 3 violations."])
+    assert {r[0] for r in report.annotation_lines(e).collect()} == {'::error file=Sources/My App/a#1.swift,line=3::m"', "::warning::w", "::error file=ä.swift,line=1::"}
+    whole = json.loads("".join(r["line"] for r in report.json_document(e, rules_).collect()))
+    assert whole["schemaVersion"] == 1 and whole["summary"] == {"checkedRules": 1, "violations": 1} and sorted(x["kind"] for x in whole["events"]) == ["diagnostic", "violation", "warning"]
+    log = json.loads("".join(r["line"] for r in report.sarif_log(e, rules_).collect()))["runs"][0]
+    assert {x["locations"][0]["physicalLocation"]["artifactLocation"].get("uri") for x in log["results"]} == {"Sources/My%20App/a%231.swift", None}
+    assert log["invocations"][0]["executionSuccessful"] is False and len(log["invocations"][0]["toolExecutionNotifications"]) == 1 and log["tool"]["driver"]["rules"][0]["id"] == "r"
+    empty = json.loads("".join(r["line"] for r in report.sarif_log(e.limit(0), rules_).collect()))["runs"][0]
+    assert empty["results"] == [] and empty["invocations"][0]["executionSuccessful"] is True
 
 
 def test_readers(spark, tmp_path):

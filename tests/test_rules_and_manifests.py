@@ -74,3 +74,8 @@ def test_rules(spark):
             rules.run([final, lib, none], **bad)
     with pytest.raises(ValueError):
         rules.run([final, final])
+
+
+def test_nested_baselines_accept_below_their_folder_only(spark):
+    b = spark.createDataFrame([("r", "n", "a.swift", "Sub"), ("r", "n", "b.swift", None), ("r", "n", "../c.swift", "Sub"), ("r", "n", "d.swift", "./")][:3], "rule string, name string, path string, folder string")
+    assert {r["path"] for r in rules.scoped_baseline(b).collect()} == {"Sub/a.swift", "b.swift"}

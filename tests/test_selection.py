@@ -45,6 +45,13 @@ def test_descriptions():
     assert (m.field("line_count") <= 5).description() == "have a line_count of at most 5"
 
 
+def test_reports_name_the_witness_first(spark):
+    rows = [("a", "A.swift", 1, 2, [("p", 7, 9), ("@q", 8, 3)]), ("b", "B.swift", 4, 5, [("@r", None, None)])]
+    df = spark.createDataFrame(rows, "name string, path string, line int, col int, members array<struct<name:string,line:int,col:int>>")
+    v = Selection(df, Roles(order=("path",))).violations(of=m.all_members("members", "be plain", lambda x: ~x["name"].startswith("@")))
+    assert sorted((r["path"], r["line"], r["column"]) for r in v.erased().collect()) == [("A.swift", 8, 3), ("B.swift", 4, 5)]
+
+
 def test_violations_and_witnesses(classes):
     v = classes.suffixed("ViewModel").violations(of=m.directly_inherits("BaseViewModel"))
     assert [r["name"] for r in v.erased().collect()] == ["BaseViewModel"]

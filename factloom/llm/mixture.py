@@ -106,13 +106,17 @@ def counted_texts(documents: DataFrame, sources: list[str], tokenizer: str, seed
 
     Only ids, hashes and counts are shuffled, with repeats merged before the exchange.
     """
-    src = documents.where("doc_id is not null and text is not null and text <> ''").withColumn("source", clean_source(F.col("source"))).where(F.col("source").isin(sources))
-    src = src.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
+    src = _hashed(documents, sources)
     counts = spread(src).mapInPandas(_count(tokenizer), "doc_id bigint, source string, h1 bigint, h2 bigint, n_tokens bigint")
     one = counts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("r")).select("h1", "h2", "r.*")
     # 53 bits of a hash make a double in [0, 1).
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2"), 11).cast("double") / F.lit(float(1 << 53))
-    return one.select("doc_id", "source", "n_tokens", u.alias("u"))
+    return one.select("h1", "h2", "doc_id", "source", "n_tokens", u.alias("u"))
+
+
+def _hashed(documents: DataFrame, sources: list[str]) -> DataFrame:
+    src = documents.where("doc_id is not null and text is not null and text <> ''").withColumn("source", clean_source(F.col("source"))).where(F.col("source").isin(sources))
+    return src.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
 
 
 def _planned(documents: DataFrame, targets: DataFrame, total_tokens: float | None, tokenizer: str, seed: int):
@@ -147,13 +151,17 @@ def training_mix(documents: DataFrame, targets: DataFrame, total_tokens: float |
     share. If a size is given that a source can't fill, its texts are used max_repeats times and the other sources fill
     the rest by their shares. Documents of other or
     null sources, and null or empty texts, are no part of it; equal texts are one text, of the smallest doc_id. Ids are
-    unique; of a repeated doc_id with several texts each text counts. Copies of one text never exceed max_repeats.
+    unique; of a repeated doc_id with several texts each text counts, and a row delivered twice counts once. Copies of one
+    text never exceed max_repeats.
     """
-    texts, _, _ = _planned(documents, targets, total_tokens, tokenizer, seed)
-    picked = texts.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
-    rows = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text").join(picked, "doc_id")
-    rows = rows.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens", "text")
-    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy"))
+    texts, goal, _ = _planned(documents, targets, total_tokens, tokenizer, seed)
+    # Joined by id and text: other texts of an id, and other ids of a text, drop out; copies of one text under many ids
+    # are spread over the tasks. Rows delivered twice are alike and count once, grouped where the join has put them.
+    picked = texts.where("copies > 0").select("h1", "h2", "doc_id", F.col("source").alias("_source"), "n_tokens", "copies")
+    rows = _hashed(documents, list(goal)).join(picked, ["doc_id", "h1", "h2"]).where("source = _source")
+    rows = rows.groupBy("doc_id", "h1", "h2").agg(*[F.first(c).alias(c) for c in ("source", "n_tokens", "copies", "text")])
+    rows = rows.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens", "h1", "text")
+    rows = rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "h1", "copy"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key").select("doc_id", "source", "copy", "n_tokens", "shuffle_key", "text")
 
@@ -177,9 +185,14 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | N
     return out.withColumn("target_met", near)
 
 
+def tokenizer_of(spark) -> str:
+    """The ranks file that the session names in factloom.tokenizer; it must lie at that path on every executor."""
+    return spark.conf.get("factloom.tokenizer", TOKENIZER)
+
+
 def p7_mix(spark, sf_dir: str) -> DataFrame:
-    return training_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+    return training_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"), tokenizer=tokenizer_of(spark))
 
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+    return mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"), tokenizer=tokenizer_of(spark))

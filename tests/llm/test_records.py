@@ -214,3 +214,22 @@ def test_mix(spark):
     assert mixture.training_mix(docs.limit(0), goal).count() == 0 and mixture.training_mix(docs, goal.limit(0)).count() == 0
     short = {r["source"]: r for r in mixture.mix_report(docs, goal, total_tokens=1e9).collect()}
     assert short["code"]["most_repeats"] == 3 and not short["code"]["target_met"]
+
+
+def test_mix_with_repeated_rows_and_several_texts_of_one_id(spark):
+    random.seed(6)
+    text = lambda n: " ".join(random.choice("alpha beta gamma delta of the and with".split()) for _ in range(n))
+    one, two, three = text(40), text(10), text(25)
+    rows = [(1, one, "a"), (1, one, "a"), (1, one, "A "), (1, two, "a"), (2, three, "a"), (3, three, "b"), (4, text(30), "b"), (4, text(12), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    size = {t: len(mixture.encoder(mixture.TOKENIZER).encode_ordinary(t)) for _, t, _ in rows}
+    for total in (None, 1e9):
+        mix = mixture.training_mix(docs, goal, total_tokens=total).collect()
+        assert len({(r["text"], r["copy"]) for r in mix}) == len(mix) and all(r["n_tokens"] == size[r["text"]] for r in mix)
+        assert {r["doc_id"] for r in mix if r["text"] == three} <= {2}
+        for r in mixture.mix_report(docs, goal, total_tokens=total).collect():
+            own = [x for x in mix if x["source"] == r["source"]]
+            assert (len(own), sum(x["n_tokens"] for x in own)) == (r["n_copies"], r["mix_tokens"])
+            assert max((x["copy"] for x in own), default=0) == r["most_repeats"] <= {"a": 1, "b": 2}[r["source"]]
+    assert {r["text"]: r["copy"] for r in mixture.training_mix(docs, goal, total_tokens=1e9).where("source = 'a'").collect()} == {one: 1, two: 1, three: 1}

@@ -1,6 +1,6 @@
-"""Tokens of Swift, Python, C and JSON texts: comment- and string-aware scanners.
+"""Tokens of Swift texts: a comment- and string-aware scanner, and what scanners of other languages share.
 
-Each scanner gives kinds, starts and first-of-line flags for a grammar's token numbers, ending in EOF. What cannot be a
+A scanner gives kinds, starts and first-of-line flags for a grammar's token numbers, ending in EOF. What cannot be a
 token (an open string, an open comment, a merge marker) becomes a token that no grammar takes, with a message.
 """
 
@@ -52,12 +52,13 @@ class Places:
         return line, at - self.starts[line - 1] + 1
 
 
+#: White space before a token belongs to its match, and a string without interpolation is one match.
 _SWIFT = re.compile(
-    r"""(?P<space>[ \t\f\v\x00 ]+)|(?P<line>[\r\n  ]+)|(?P<note>//[^\r\n]*)|(?P<block>/\*)
+    r"""[ \t\f\v\x00 ]*(?:(?P<line>[\r\n  ]+)|(?P<note>//[^\r\n]*)|(?P<block>/\*)
 |(?P<name>[^\W\d][\w]*|\$\w+|`[^`\r\n]+`)
 |(?P<number>0x[0-9A-Fa-f_]+(?:\.[0-9A-Fa-f_]+)?(?:[pP][+-]?\d[\d_]*)?|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?)
-|(?P<quote>\#*(?:\"{3}|\"))|(?P<regex>\#+/)|(?P<hash>\#[A-Za-z_]\w*|\#!)|(?P<mark>[()\[\]{},;:@\\])|(?P<dots>\.\.[.<]|\.)
-|(?P<op>(?:(?!//|/\*)[-+*/=<>!&|^~?%¡-§←-⏿─-❵])+)""",
+|(?P<str>\"(?!\"\")(?:[^\"\\\r\n]|\\[^(\r\n])*\")|(?P<quote>\#*(?:\"{3}|\"))|(?P<regex>\#+/)|(?P<hash>\#[A-Za-z_]\w*|\#!)|(?P<mark>[()\[\]{},;:@\\])|(?P<dots>\.\.[.<]|\.)
+|(?P<op>(?:(?!//|/\*)[-+*/=<>!&|^~?%¡-§←-⏿─-❵])+)|(?P<end>\Z))""",
     re.X,
 )
 _NEST = re.compile(r"/\*|\*/")
@@ -94,13 +95,25 @@ class _Body:
 _body = _Body()
 
 
+_words: dict[int, tuple[dict, dict]] = {}
+
+
+def words_of(kinds: dict[str, int]) -> dict[str, int]:
+    """The kinds that are words of the language. Classes of tokens are written in capitals; a name that is spelled like
+    one is a name."""
+    if (held := _words.get(id(kinds))) is None or held[0] is not kinds:
+        held = _words[id(kinds)] = kinds, {k: v for k, v in kinds.items() if not k.isupper()}
+    return held[1]
+
+
 def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
     t = Tokens()
-    get, ident, n = kinds.get, kinds["IDENT"], len(text)
+    get, ident, n = words_of(kinds).get, kinds["IDENT"], len(text)
     at, fresh = (1 if text.startswith("﻿") else 0), True
     if text.startswith("#!", at):
         at = len(text.split("\n", 1)[0])
     match, add = _SWIFT.match, t.add
+    put_kind, put_start, put_first, put_text = t.kinds.append, t.starts.append, t.first.append, t.texts.append
     #: open interpolations: (parentheses open, hashes, many)
     stack: list[list] = []
     number, string = kinds["NUMBER"], kinds["STRING"]
@@ -132,17 +145,19 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
         if m is None:
             t.bad(at, fresh, STRAY)
             break
-        what, start, at = m.lastgroup, at, m.end()
-        if what == "space":
-            continue
-        if what == "line":
+        what = m.lastgroup
+        start, at = m.span(what)
+        if what == "name":
+            s = m.group(what)
+            put_kind(get(s, ident))
+            put_start(start)
+            put_first(fresh)
+            put_text(s)
+        elif what == "line":
             fresh = True
             continue
-        if what == "name":
-            s = m.group()
-            add(get(s, ident), start, fresh, s)
         elif what == "mark":
-            s = m.group()
+            s = m.group(what)
             if stack:
                 if s == "(":
                     stack[-1][0] += 1
@@ -154,17 +169,26 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
                             break
                         continue
                     stack[-1][0] -= 1
-            add(kinds[s], start, fresh, s)
+            put_kind(kinds[s])
+            put_start(start)
+            put_first(2 if s == "(" and start and text[start - 1] not in " \t\r\n/" else fresh)
+            put_text(s)
+        elif what == "str":
+            add(string, start, fresh)
+        elif what == "end":
+            break
         elif what == "note":
             t.comments.append((start, at))
             continue
         elif what == "dots":
-            s = m.group()
-            add(kinds["."] if s == "." else binary if s == "..<" else kinds["..."], start, fresh, s)
+            s = m.group(what)
+            # Without a value before it, ..< stands before its only one.
+            alone = s == "..<" and (start == 0 or text[start - 1] in _OPENERS) and at < n and text[at] not in _CLOSERS
+            add(kinds["."] if s == "." else pre if alone else binary if s == "..<" else kinds["..."], start, fresh, s)
         elif what == "number":
-            add(number, start, fresh, m.group())
+            add(number, start, fresh, m.group(what))
         elif what == "quote":
-            s = m.group()
+            s = m.group(what)
             hashes, many = s.count("#"), s.endswith('"""')
             if many:
                 rest = re.compile(r"[ \t]*(?=[\r\n])").match(text, at)
@@ -176,7 +200,7 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
                 break
             continue
         elif what == "op":
-            s = m.group()
+            s = m.group(what)
             # No operator of seven such signs stands alone at the start of a line, indented or not.
             if fresh and s[0] in "<>=|" and _MARKER.match(text, start):
                 t.bad(start, True, MARKER)
@@ -191,7 +215,7 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
                 add(kinds["REGEX"], start, fresh)
                 fresh = False
                 continue
-            if s[0] == ">" and s != ">=":
+            if s[0] == ">" and s != ">=" and (left or at < n and text[at] not in " \t\r\n"):
                 at, s = start + 1, ">"
             elif s[0] in "?!" and left and s not in ("!=", "??", "!==") or s in ("?", "!"):
                 at, s = start + 1, s[0]
@@ -218,7 +242,7 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
                 fresh = True
             continue
         elif what == "hash":
-            s = m.group()
+            s = m.group(what)
             if s in ("#if", "#elseif"):
                 line = re.compile(r"[^\r\n]*").match(text, at)
                 cond = re.sub(r"//.*|/\*.*?\*/", "", line.group()).strip()
@@ -230,7 +254,7 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
             else:
                 add(get(s, kinds["MACRO"]), start, fresh, s)
         else:  # an extended regular expression
-            h = m.group()[:-1]
+            h = m.group(what)[:-1]
             end = text.find("/" + h, at)
             if end < 0:
                 t.bad(start, fresh, "regular expression is not closed")
@@ -240,10 +264,6 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
         fresh = False
     if stack and (not t.kinds or t.kinds[-1] != BAD):
         t.bad(n, False, OPEN_STRING)
-    paren = kinds["("]
-    for k, kind in enumerate(t.kinds):
-        if kind == paren and t.starts[k] and text[t.starts[k] - 1] not in " \t\r\n/":
-            t.first[k] = 2
     t.add(0, n, True)
     t.add(0, n, True)
     return t

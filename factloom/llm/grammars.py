@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 
-from factloom.sources import lexers
+from factloom.llm import scanners
 from factloom.llm.peg import EOF, Grammar, compile_grammar
+from factloom.sources import lexers
 
 JSON = r"""
 File = Value EOF
@@ -44,7 +45,7 @@ DeclarationStart = '@' / MODIFIER / 'func' / 'var' / 'let' / 'class' / 'struct'
 Attribute = '@' NAME ('.' NAME)* GenericArguments? (TIGHT Balanced)?
 Balanced = '(' BalancedItem* ')'
 BalancedItem = Balanced / '[' BalancedItem* ']' / '{' BalancedItem* '}' / !('(' / ')' / '[' / ']' / '{' / '}') ANY
-Modifier = MODIFIER ('(' NAME ')')? &(MODIFIER / '@' / 'func' / 'var' / 'let' / 'class' / 'struct' / 'enum' / 'actor' / 'protocol' / 'extension' / 'init' / 'deinit' / 'subscript' / 'typealias' / 'associatedtype' / 'import' / 'operator' / 'precedencegroup' / 'case' / 'macro')
+Modifier = 'async' &('let' / 'var') / MODIFIER ('(' NAME ')')? &(MODIFIER / '@' / 'func' / 'var' / 'let' / 'class' / 'struct' / 'enum' / 'actor' / 'protocol' / 'extension' / 'init' / 'deinit' / 'subscript' / 'typealias' / 'associatedtype' / 'import' / 'operator' / 'precedencegroup' / 'case' / 'macro')
 DeclarationBody = Import / Variable / Function / Type / Extension / Protocol / Initializer / Deinitializer / Subscript / Cases / Alias / Associated / OperatorDeclaration / Precedence / MacroDeclaration
 Import = 'import' (('class' / 'struct' / 'enum' / 'protocol' / 'typealias' / 'func' / 'var' / 'let') &ID)? ID ('.' (NAME / OPERATOR))*
 Variable = ('var' / 'let') Binding (',' Binding)*
@@ -53,7 +54,7 @@ Annotation = ':' TypeName
 Accessors = '{' Accessor+ '}' / Block
 Accessor = Attribute* ('mutating' / 'nonmutating' / 'borrowing' / 'consuming' / '__consuming')? ('get' / 'set' / 'willSet' / 'didSet' / 'yield' / 'ACCESSOR') ('(' ID ')')? Effects Block? / '#if' Accessor* ('#elseif' Accessor*)* ('#else' Accessor*)? '#endif'
 Function = FunctionHead Block
-FunctionHead = 'func' (NAME / OPERATOR+) GenericParameters? Parameters Effects Result? Where?
+FunctionHead = 'func' (NAME / '>'+ 'BINARY'? / OPERATOR) GenericParameters? Parameters Effects Result? Where?
 Result = '->' TypeName
 Effects = ('async' / 'throws' ('(' TypeName ')')? / 'rethrows' / 'IDENT_REASYNC')*
 Parameters = '(' (Parameter (',' Parameter)* ','?)? ')'
@@ -102,16 +103,16 @@ Labelled = ID ':' (If / For / While / Repeat / Switch / Do)
 If = 'if' Conditions Block ('else' (If / Block))?
 Guard = 'guard' Conditions 'else' Block
 Conditions = Condition (',' Condition)*
-Condition = 'case' Binder? HeadExpression Annotation? ('=' HeadExpression)? / ('let' / 'var') Pattern Annotation? ('=' HeadExpression)? / HeadExpression
-For = 'for' 'try'? 'await'? ('case' Binder? HeadExpression / Pattern) Annotation? 'in' HeadExpression ('where' HeadExpression)? Block
+Condition = 'case' ('is' TypeName / Binder? HeadExpression) Annotation? ('=' HeadExpression)? / ('let' / 'var') Pattern Annotation? ('=' HeadExpression)? / HeadExpression
+For = 'for' 'try'? 'await'? ('case' ('is' TypeName / Binder? HeadExpression) / Pattern) Annotation? 'in' HeadExpression ('where' HeadExpression)? Block
 While = 'while' Conditions Block
 Repeat = 'repeat' Block 'while' Expression
 Switch = 'switch' HeadExpression '{' SwitchItem* '}'
 SwitchItem = '#if' SwitchItem* ('#elseif' SwitchItem*)* ('#else' SwitchItem*)? '#endif' / Label Statements
 Label = Attribute* ('case' CaseItem (',' CaseItem)* ','? ':' / 'default' ':')
-CaseItem = Binder? Expression ('where' Expression)?
+CaseItem = ('is' TypeName / Binder? Expression) ('where' Expression)?
 Do = 'do' Effects Block ('catch' (!'{' CaseItem2 (',' CaseItem2)*)? Block)*
-CaseItem2 = Binder? HeadExpression ('where' HeadExpression)?
+CaseItem2 = 'where' HeadExpression / ('is' TypeName / Binder? HeadExpression) ('where' HeadExpression)?
 Defer = 'defer' Block
 Return = 'return' (SL Expression / !Declaration !Control Expression)?
 Throw = 'throw' Expression
@@ -119,7 +120,7 @@ Jump = ('break' / 'continue') (SL ID)? / 'fallthrough'
 YieldStatement = ('yield' / 'discard') SL '&'? Expression
 
 Expression = Effect* Unary (Infix)*
-Effect = 'try' ('?' / '!')? / 'await' &(ExpressionStart)
+Effect = 'try' ('?' / '!')? / 'await' &(ExpressionStart) / 'unsafe' &('try' / 'await')
 ExpressionStart = NAME / 'STRING' / 'STRING_OPEN' / 'NUMBER' / '(' / '[' / '.' / 'PRE' / '\\' / DIRECTIVE / '{' / '&' / '!'
 Infix = INFIX Effect* Unary / ('<' / '>'+) Effect* Unary / '...' Effect* Unary / 'TERNARY' Expression ':' Effect* Expression / 'is' TypeName / 'as' ('?' / '!')? TypeName / ('async' / 'throws') '->' Unary
 Unary = ('PRE' / '&' / '!' / '...')* Word* Postfix
@@ -145,7 +146,7 @@ KeyPath = '\\' (TypePrimary / ) KeyStep*
 KeyStep = '.' (NAME GenericArguments? ArgumentNames? / '[' Arguments ']' / '?' / '!') / '[' Arguments ']' / '?' / '!' / 'POST' / SL '(' Arguments ')'
 MacroExpansion = Attributes Modifier* DIRECTIVE (SL GenericArguments)? (SL '(' Arguments ')')? (SL Trailing)?
 Closure = '{' Signature? Statements '}'
-Signature = Attribute* Captures? (Parameters2 / ID (',' ID)* / '_' (',' (ID / '_'))*)? Effects Result? 'in'
+Signature = Attribute* Captures? (Parameters2 / (ID / '_') (',' (ID / '_'))*)? Effects Result? 'in'
 Captures = '[' (Capture (',' Capture)*)? ']'
 Capture = (('weak' / 'unowned') ('(' NAME ')')?)? ('self' / ID) ('=' Expression)?
 Parameters2 = '(' (Parameter2 (',' Parameter2)* ','?)? ')'
@@ -157,7 +158,7 @@ HeadUnary = ('PRE' / '&' / '!' / '...')* Word* HeadPostfix
 HeadPostfix = HeadPrimary HeadSuffix*
 HeadSuffix = '.' Member2 / '?' / '!' / 'POST' / '...' &('{' / ')') / SL '(' Arguments ')' / SL '[' Arguments ']'
 HeadPrimary = Literal / ('self' / 'Self' / 'super' / '_' / 'Any') / ID GenericUse? ArgumentNames? / Parenthesis / List / '.' Member2 / KeyPath / HeadMacro
-HeadMacro = DIRECTIVE (SL '(' Arguments ')')?
+HeadMacro = ('#available' / '#unavailable') Balanced / DIRECTIVE (SL '(' Arguments ')')?
 """
 
 PYTHON = r"""
@@ -303,13 +304,13 @@ def grammar(lang: str) -> tuple[Grammar, object] | None:
     """The compiled grammar and scanner of a language, made once in each process; None if there is none."""
     if lang not in _made:
         if lang == "json":
-            _made[lang] = compile_grammar(lang, JSON), lexers.json_tokens
+            _made[lang] = compile_grammar(lang, JSON), scanners.json_tokens
         elif lang == "swift":
             _made[lang] = _with_any(lang, SWIFT, _SWIFT_SETS, _MORE_SWIFT), lexers.swift_tokens
         elif lang == "python":
-            _made[lang] = compile_grammar(lang, PYTHON, {**_PY_SETS, "WORDS": _PY_WORDS}), lexers.python_tokens
+            _made[lang] = compile_grammar(lang, PYTHON, {**_PY_SETS, "WORDS": _PY_WORDS}), scanners.python_tokens
         elif lang == "c":
-            _made[lang] = _with_any(lang, C, _C_SETS, ["NAME", "NUMBER", "STRING", *[x for v in _C_SETS.values() for x in v], ";", ",", ".", "->", "...", "=", ":", "?"]), lexers.c_tokens
+            _made[lang] = _with_any(lang, C, _C_SETS, ["NAME", "NUMBER", "STRING", *[x for v in _C_SETS.values() for x in v], ";", ",", ".", "->", "...", "=", ":", "?"]), scanners.c_tokens
         else:
             return None
     return _made[lang]

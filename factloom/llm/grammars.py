@@ -232,26 +232,28 @@ _PY_SETS = {"AUGMENT": ["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "
 
 C = r"""
 File = (External / ';')* EOF
-External = 'extern' STRING '{' External* '}' / 'extern' STRING External / StaticAssert / Function / Declaration / MacroCall
+External = MACROID BalancedGroup? ';'? &(NL / EOF) / 'extern' STRING '{' External* '}' / 'extern' STRING External / StaticAssert / Function / Declaration / MacroCall
 MacroCall = NAME '(' (BalancedItem)* ')' ';'?
 BalancedItem = '(' BalancedItem* ')' / '[' BalancedItem* ']' / '{' BalancedItem* '}' / !('(' / ')' / '[' / ']' / '{' / '}') ANY
+BalancedGroup = '(' BalancedItem* ')'
 StaticAssert = ('_Static_assert' / 'static_assert') '(' Assign (',' STRING)? ')' ';'
 Function = Specifiers Declarator Declaration* Compound
-Declaration = Specifiers (InitDeclarator (',' InitDeclarator)*)? Attribute* ';'
+Declaration = Specifiers (InitDeclarator (',' InitDeclarator)*)? After* ';'
 Attribute = ('__attribute__' / '__attribute' / '__declspec' / '_Alignas' / 'alignas' / '__asm__' / 'asm') '(' BalancedItem* ')' / '[' '[' BalancedItem* ']' ']'
+After = Attribute / MACROID BalancedGroup? &(';' / ',' / '{' / ')' / '=' / MACROID / '__attribute__' / '__asm__' / 'asm')
 Specifiers = Qualifier* (TypeSpecifier Qualifier* (BASIC Qualifier*)* / BASIC Qualifier* (BASIC / Qualifier)*)
-Qualifier = QUALIFIER / Attribute / NAME &(NAME NAME) / NAME &(BASIC)
+Qualifier = QUALIFIER / Attribute / NAME &(NAME NAME) / NAME &(BASIC / 'struct' / 'union' / 'enum' / QUALIFIER) / MACROID BalancedGroup &(NAME / BASIC / 'struct' / 'union' / 'enum' / QUALIFIER)
 TypeSpecifier = Record / Enum / ('typeof' / '__typeof__' / '_Atomic') '(' BalancedItem* ')' / NAME
 Record = ('struct' / 'union') Attribute* (NAME? '{' (Field / ';')* '}' / NAME) Attribute*
 Field = StaticAssert / Specifiers (FieldDeclarator (',' FieldDeclarator)*)? Attribute* ';'
 FieldDeclarator = ':' Conditional / Declarator (':' Conditional)?
 Enum = 'enum' Attribute* (NAME? (':' Specifiers)? '{' Enumerator (',' Enumerator)* ','? '}' / NAME)
-Enumerator = NAME Attribute* ('=' Conditional)?
-InitDeclarator = Declarator Attribute* ('=' Initializer)?
+Enumerator = NAME (MACROID BalancedGroup? / Attribute)* ('=' Conditional)?
+InitDeclarator = Declarator After* ('=' Initializer)?
 Declarator = Pointer* Direct
 Pointer = ('*' / '^') (QUALIFIER / Attribute / NAME &(NAME / '*'))*
-Direct = (NAME / '(' Attribute* Declarator ')') DirectSuffix*
-DirectSuffix = '(' Parameters? ')' Attribute* / '[' (QUALIFIER* (Assign / '*')?)? ']'
+Direct = (MACROID BalancedGroup &(NAME / '(') / ) (NAME / '(' (Attribute / NAME &('*' / NAME))* Declarator ')') DirectSuffix*
+DirectSuffix = '(' Parameters? ')' After* / '[' (QUALIFIER* (Assign / '*')?)? ']'
 Parameters = Parameter (',' Parameter)* (',' '...')? / NAME (',' NAME)*
 Parameter = Specifiers (Declarator / Abstract)? Attribute* / '...'
 Abstract = Pointer+ AbstractDirect? / AbstractDirect
@@ -281,6 +283,7 @@ Argument = Assign / TypeName
 Primary = (STRING / NAME &STRING)+ NAME? / NUMBER / NAME / '(' Compound ')' / '(' Expression ')' / '_Generic' '(' BalancedItem* ')'
 """
 _C_SETS = {
+    "NAME": ["NAME", "MACROID"],
     "BASIC": "void char short int long float double signed unsigned _Bool bool _Complex __int128".split(),
     "QUALIFIER": "const volatile restrict __restrict __restrict__ static extern typedef register auto inline __inline __inline__ _Noreturn _Thread_local thread_local __thread constexpr __extension__".split(),
     "ASSIGN": ["=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="],
@@ -297,6 +300,14 @@ def _with_any(name: str, text: str, sets: dict[str, list[str]], more: list[str])
 
 
 _MORE_SWIFT = ["IDENT", "NUMBER", "STRING", "STRING_OPEN", "STRING_MORE", "STRING_CLOSE", "REGEX", "MACRO", "POST", "PRE", "BINARY", "TERNARY", "AMP", "...", ".", ";", "\\", "@", "`", *_SWIFT_SOFT, *_SWIFT_HARD, "#if", "#elseif", "#else", "#endif"]
+#: How token classes and rules are named in messages; what is not named here is a literal or a rule's own name.
+_SAID = {
+    "Expression": "an expression", "HeadExpression": "an expression", "Unary": "an expression", "HeadUnary": "an expression", "Postfix": "an expression", "HeadPostfix": "an expression", "Primary": "an expression", "HeadPrimary": "an expression", "Test": "an expression", "Stars": "an expression",
+    "Named": "an expression", "Or2": "an expression", "Or": "an expression", "Assign": "an expression", "Conditional": "an expression", "Cast": "an expression", "Statement": "a statement", "Declaration": "a declaration", "DeclarationBody": "a declaration", "Member": "a declaration", "External": "a declaration",
+    "TypeName": "a type", "TypeCore": "a type", "TypePrimary": "a type", "Pattern": "a pattern", "Block": "a block", "Compound": "a block", "Closure": "a closure", "Value": "a value", "STRING": "a string", "NUMBER": "a number", "IDENT": "a name", "NAME": "a name", "ID": "a name", "NEWLINE": "the end of the line",
+    "EOF": "the end of the file", "INDENT": "an indented block", "DEDENT": "the end of the block", "NL": "a new line", "Declarator": "a declarator", "Specifiers": "a type", "Parameters": "parameters", "Members": "a body in braces", "Name": "a name", "WORD": "true, false or null", "Pair": "a name in quotes",
+}
+_UNSAID = {"SL", "TIGHT", "POST", "PRE", "BINARY", "AMP", "TERNARY", "MACRO", "MACROID", "INFIX", "ANY", "Attribute", "Attributes", "Modifier", "GenericUse", "PostfixConfig", "Suffix", "HeadSuffix", "Infix", "HeadInfix", "Trailing", "ArgumentNames", "Effects", "Effect", "STRING_MORE", "STRING_CLOSE", "Break", "IfConfig", "MemberConfig", "DirectSuffix", "PostfixTail", "After", "#if", "?", "!", "...", ".", "="}
 _made: dict[str, tuple[Grammar, object]] = {}
 
 
@@ -310,7 +321,7 @@ def grammar(lang: str) -> tuple[Grammar, object] | None:
         elif lang == "python":
             _made[lang] = compile_grammar(lang, PYTHON, {**_PY_SETS, "WORDS": _PY_WORDS}), scanners.python_tokens
         elif lang == "c":
-            _made[lang] = _with_any(lang, C, _C_SETS, ["NAME", "NUMBER", "STRING", *[x for v in _C_SETS.values() for x in v], ";", ",", ".", "->", "...", "=", ":", "?"]), scanners.c_tokens
+            _made[lang] = _with_any(lang, C, _C_SETS, ["NAME", "MACROID", "NUMBER", "STRING", *[x for v in _C_SETS.values() for x in v], ";", ",", ".", "->", "...", "=", ":", "?"]), scanners.c_tokens
         else:
             return None
     return _made[lang]
@@ -333,49 +344,79 @@ def scan(text: str, lang: str) -> lexers.Tokens | None:
     return found[1](text, found[0].kinds) if found else None
 
 
+#: Frames of the parser's functions: a text may nest as deep as this allows, some hundred thousand brackets.
+DEPTH = 3_000_000
+_CUT = (lexers.OPEN_STRING, lexers.OPEN_COMMENT)
+
+
+def _deep() -> None:
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
+
+
 def valid_tokens(text: str, lang: str) -> lexers.Tokens | None:
     """The tokens of a text that parses as a whole, else None; the text is scanned once."""
     g, scanner = grammar(lang)
-    if sys.getrecursionlimit() < 200_000:
-        sys.setrecursionlimit(200_000)
+    _deep()
     t = scanner(text, g.kinds)
-    try:
-        return None if t.errors or g.parse(t.kinds, t.first) >= 0 else t
-    except RecursionError:
-        return None
+    return None if t.errors or g.parse(t.kinds, t.first) >= 0 else t
+
+
+def _variants(text: str, lang: str, scanner, kinds: dict[str, int]):
+    """The token streams that all must parse: one, or in C one for each branch of the conditions."""
+    yield scanner(text, kinds)
+    if lang == "c":
+        for k in range(1, scanners.c_branches(text)):
+            yield scanner(text, kinds, k)
+
+
+def parses(text: str, lang: str) -> bool:
+    g, scanner = grammar(lang)
+    _deep()
+    return all(not t.errors and g.parse(t.kinds, t.first) < 0 for t in _variants(text, lang, scanner, g.kinds))
+
+
+def _message(g: Grammar, t: lexers.Tokens, far: int) -> str:
+    """What the grammar would have taken at the furthest token."""
+    wanted = g.expected(t.kinds, t.first, far)
+    said = sorted({_SAID.get(w, w) for w in wanted if w not in _UNSAID})
+    if not said:
+        return "a declaration was expected here"
+    return ("expected " + (said[0] if len(said) == 1 else ", ".join(said[:-1]) + " or " + said[-1])) if len(said) <= 6 else "expected " + ", ".join(said[:5]) + " or another token"
 
 
 def _fault(text: str, lang: str) -> tuple[int, str, str] | None:
     g, scanner = grammar(lang)
-    t = scanner(text, g.kinds)
-    far = g.parse(t.kinds, t.first)
-    if far < 0:
-        return None
-    far = min(far, len(t.kinds) - 1)
-    message = t.errors.get(far, "")
-    if lexers.MARKER in t.errors.values():
-        far, message = next((k, m) for k, m in t.errors.items() if m == lexers.MARKER)
-        return t.starts[far], message, "conflict"
-    if message:
-        cut = message in (lexers.OPEN_STRING, lexers.OPEN_COMMENT) or t.starts[far] >= len(text.rstrip())
-        return t.starts[far], message, "truncated" if cut else "syntax"
-    if t.kinds[far] == 0:
-        return t.starts[far], "the file ends too early", "truncated"
-    return t.starts[far], "a declaration or another token was expected here", "syntax"
+    for t in _variants(text, lang, scanner, g.kinds):
+        far = g.parse(t.kinds, t.first)
+        if far < 0 and not t.errors:
+            continue
+        far = min(far, len(t.kinds) - 1) if far >= 0 else min(t.errors)
+        if lexers.MARKER in t.errors.values():
+            far, message = next((k, m) for k, m in t.errors.items() if m == lexers.MARKER)
+            return t.starts[far], message, "conflict"
+        if message := t.errors.get(far, ""):
+            cut = message in _CUT or t.starts[far] >= len(text.rstrip())
+            return t.starts[far], message, "truncated" if cut else "syntax"
+        message = _message(g, t, far)
+        if t.kinds[far] == 0:
+            return t.starts[far], f"the file ends too early: {message}", "truncated"
+        return t.starts[far], message, "syntax"
+    return None
 
 
 def check(text: str | None, lang: str | None) -> Fault | None:
     """None if the whole text parses (or its language has no grammar, or it is null); else where and why it doesn't.
 
-    The furthest token that fits nothing is the place. The cause is conflict if a merge marker stands outside strings
-    and comments, truncated if the text ends too early, wrong_language if it parses as another language, else syntax.
-    An empty text is a valid file of every language but JSON.
+    The furthest token that fits nothing is the place, and what the grammar would have taken there the message. The
+    cause is conflict if a merge marker stands outside strings and comments, truncated if the text ends too early,
+    wrong_language if it parses as another language, else syntax. An empty text is a valid file of every language but
+    JSON. A text that nests beyond DEPTH, which no real file does, is said to nest too deeply.
     """
     lang = (lang or "").strip().lower()
     if text is None or grammar(lang) is None:
         return None
-    if sys.getrecursionlimit() < 200_000:
-        sys.setrecursionlimit(200_000)
+    _deep()
     try:
         found = _fault(text, lang)
     except RecursionError:
@@ -383,7 +424,17 @@ def check(text: str | None, lang: str | None) -> Fault | None:
     if found is None:
         return None
     at, message, cause = found
-    if cause != "conflict" and any(other != lang and text.strip() and _fault(text, other) is None for other in LANGUAGES):
+    if cause != "conflict" and text.strip() and any(other != lang and _likely(text, other) for other in LANGUAGES):
         cause = "wrong_language"
     line, col = lexers.Places(text)(at)
     return Fault(at, line, col, message, cause)
+
+
+def _likely(text: str, lang: str) -> bool:
+    """Whether a text parses as another language; one that cannot begin a value is no JSON without parsing it."""
+    if lang == "json" and text.lstrip("\ufeff \t\r\n")[:1] not in ("{", "[", '"'):
+        return False
+    try:
+        return parses(text, lang)
+    except RecursionError:
+        return False

@@ -26,6 +26,13 @@ class Grammar:
     kinds: dict[str, int]
     source: str
     parse: object = field(repr=False)
+    rules: dict = field(repr=False)
+    sets: dict = field(repr=False)
+
+    def expected(self, kinds: list[int], first: list[int], far: int) -> set[str]:
+        """What would have fitted at the token far, where a parse failed: literals, token classes, and rules in place of
+        all that they may begin with. Walks the grammar over the tokens before, with results kept by position."""
+        return _Expected(self, kinds, first, far).found
 
 
 class _Reader:
@@ -267,4 +274,65 @@ def compile_grammar(name: str, text: str, sets: dict[str, list[str]] | None = No
     source = "\n".join(out)
     scope: dict[str, object] = {v: s for s, v in consts.items()}
     exec(compile(source, f"<grammar {name}>", "exec"), scope)  # noqa: S102 - the code is made above from the grammar
-    return Grammar(name, kinds, source, scope["parse"])
+    return Grammar(name, kinds, source, scope["parse"], rules, sets)
+
+
+class _Expected:
+    """The grammar interpreted, for one text that failed: slow, but it knows the names of what it tries."""
+
+    def __init__(self, g: Grammar, kinds: list[int], first: list[int], far: int):
+        self.g, self.k, self.l, self.far = g, kinds, first, far
+        self.found: set[str] = set()
+        self.memo: dict[tuple[str, int], int] = {}
+        self.quiet = 0
+        self.members = {n: frozenset(g.kinds[x] for x in m if x in g.kinds) for n, m in g.sets.items()}
+        self.go(("rule", next(iter(g.rules))), 0)
+
+    def go(self, x, p: int) -> int:
+        op = x[0]
+        if op == "tok":
+            held = self.members.get(x[1])
+            if self.k[p] in held if held is not None else self.k[p] == self.g.kinds[x[1]]:
+                return p + 1
+            if p == self.far and not self.quiet:
+                self.found.add(x[1])
+            return -1
+        if op == "zero":
+            return p if {"NL": self.l[p] == 1, "SL": self.l[p] != 1, "TIGHT": self.l[p] == 2}[x[1]] else -1
+        if op == "rule":
+            # A rule that starts at the place stands for what it begins with.
+            here = p == self.far and not self.quiet and x[1] in _WHOLE
+            if here:
+                self.found.add(x[1])
+            key = (x[1], p)
+            if (got := self.memo.get(key)) is None or (p == self.far and not self.quiet):
+                self.quiet += here
+                got = self.memo[key] = self.go(self.g.rules[x[1]], p)
+                self.quiet -= here
+            return got
+        if op == "seq":
+            for y in x[1]:
+                p = self.go(y, p)
+                if p < 0:
+                    return -1
+            return p
+        if op == "choice":
+            for y in x[1]:
+                if (q := self.go(y, p)) >= 0:
+                    return q
+            return -1
+        if op in ("star", "plus", "opt"):
+            n = 0
+            while (q := self.go(x[1], p)) >= 0:
+                n, moved, p = n + 1, q != p, q
+                if not moved or op == "opt":
+                    break
+            return -1 if op == "plus" and not n else p
+        self.quiet += 1
+        q = self.go(x[1], p)
+        self.quiet -= 1
+        return p if (q >= 0) == (op == "and") else -1
+
+
+#: Rules that are named as a whole.
+_WHOLE = {"Expression", "HeadExpression", "Unary", "HeadUnary", "Statement", "Declaration", "Member", "External", "TypeName", "TypeCore", "Pattern", "Block", "Compound", "Closure", "Value", "Test", "Stars", "Named", "Or2", "Or", "Assign", "Conditional", "Cast", "Declarator", "Members"}

@@ -188,6 +188,9 @@ _C_DIRECTIVE = re.compile(r"#[ \t]*(\w*)((?:[^\r\n\\/]|\\(?:\r\n|[\s\S])|/(?![*/
 _C_DIRECTIVES = {"", "include", "define", "undef", "pragma", "error", "warning", "line", "import", "include_next", "if", "ifdef", "ifndef", "elif", "elifdef", "elifndef", "else", "endif"}
 
 
+#: Names in capitals or with two underscores are written as macros, which may stand for anything.
+_C_MACRO = re.compile(r"[A-Z_][A-Z0-9_]{2,}|__\w+")
+_C_PLUS = re.compile(r"(?:ifdef|if\s+defined)\s*\(?\s*__cplusplus\s*\)?\s*$")
 _C_ELSE = re.compile(r"^[ \t]*#[ \t]*(?:else|elif)", re.M)
 _C_NEVER, _C_ALWAYS = re.compile(r"0+\s*$|false\s*$"), re.compile(r"0*1\s*$|true\s*$")
 
@@ -197,7 +200,8 @@ def c_tokens(text: str, kinds: dict[str, int], branch: int = 0) -> Tokens:
     first, or with branch = k the k-th after it, if it has so many; what #if 0 leaves out is never taken."""
     t = Tokens()
     at, n, fresh = (1 if text.startswith("﻿") else 0), len(text), True
-    word, name_kind = words_of(kinds).get, kinds["NAME"]
+    words, name_kind, macro = words_of(kinds), kinds["NAME"], kinds["MACROID"]
+    word = words.get
     conditions: list[list[int]] = []  # the number of the branch that is read, and of the one that is taken
     while at < n:
         m = _C.match(text, at)
@@ -225,7 +229,8 @@ def c_tokens(text: str, kinds: dict[str, int], branch: int = 0) -> Tokens:
                 t.bad(start, True, "unknown compiler directive" if name not in _C_DIRECTIVES else "the directive is not complete")
                 break
             if name.startswith("if"):
-                taken = branch + 1 if name == "if" and _C_NEVER.match(rest) else 0 if name == "if" and _C_ALWAYS.match(rest) else branch
+                never = name == "if" and _C_NEVER.match(rest) or _C_PLUS.match(f"{name} {rest}")
+                taken = branch + 1 if never else 0 if name == "if" and _C_ALWAYS.match(rest) else branch
                 conditions.append([0, taken])
             elif name in ("endif", "else") or name.startswith("elif"):
                 if not conditions:
@@ -250,7 +255,8 @@ def c_tokens(text: str, kinds: dict[str, int], branch: int = 0) -> Tokens:
             break
         elif not other:
             if what == "name":
-                t.add(word(m.group(), name_kind), start, fresh, m.group())
+                s = m.group()
+                t.add(word(s, name_kind) if s in words or not _C_MACRO.fullmatch(s) else macro, start, fresh, s)
             elif what in ("number", "char"):
                 t.add(kinds["NUMBER"], start, fresh)
             else:

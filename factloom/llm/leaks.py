@@ -1,12 +1,13 @@
 """Passages of evaluation items in training documents, by a positional inverted index.
 
-The index: documents are split into shards (a block of documents that one task reads); each shard stores, for each
-term, the documents and word positions where it stands, as one posting block of a written table. Only terms of the
-items are stored, the others can't matter. The search: document frequencies are summed over all blocks; in each run of
-RUN words of an item the rarest term is an anchor; the anchors' postings, less the anchor's place in the item, give
-the diagonals (document and offset) on which the item may stand, and the offset-adjusted postings of all its terms are
-intersected there. A passage holds MIN_WORDS matching words or more, and fewer than one in ten of its words differ,
-none of them next to another. It has RUN matching words in a row, so none is lost: every such run holds an anchor.
+The index: documents are split into shards (a block of documents that one task reads); each shard is a row of a written
+table that holds, for each term, the word positions where it stands. Only terms of the items are stored, the others
+can't matter; it is made once for all items. The search: document frequencies are summed over all shards; in each run
+of RUN words of an item the rarest term is an anchor; the anchors' postings, less the anchor's place in the item, give
+the diagonals (document and offset) on which the item may stand, and these are intersected with the offset-adjusted
+postings of all its other terms. A passage holds MIN_WORDS matching words or more, and fewer than one in ten of its
+words differ, none of them next to another. It has RUN matching words in a row, so none is lost: every such run holds
+an anchor.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ MIN_WORDS = 20
 RUN = 7
 #: A run of words that this many items share is an instruction.
 SHARED_WORDS, SHARED_ITEMS = 15, 3
-#: Words of the items that are searched for at once; more items are searched for in blocks.
-BLOCK_WORDS = 400_000
+#: Words of the items that one task looks for at once; more items are looked for in further passes over the index.
+BLOCK_WORDS = 4_000_000
+#: Cells (diagonals times words of the item) that are compared at once.
+CELLS = 4_000_000
 #: Documents and characters of a shard.
 SHARD_DOCS, SHARD_CHARS = 2_000, 16_000_000
 
@@ -113,11 +116,12 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str | None]]]]:
         yield block
 
 
-_POSTING = "shard bigint, term int, n_docs int, docs array<bigint>, places array<int>, ends array<int>"
+_SHARD = "shard bigint, docs array<bigint>, ends array<int>, terms array<int>, n_docs array<int>, bounds array<int>, places array<int>"
 
 
 def _index(vocabulary: dict[str, int]):
-    """For each shard a row of term -1 with its documents' ids and lengths, and a posting block for each term."""
+    """A row for each shard: ids of its documents and where each ends in the shard's words; the terms that stand in it, in
+    how many documents each, and their sorted places (those of term k lie between bounds k and k + 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -142,21 +146,17 @@ def _index(vocabulary: dict[str, int]):
                 terms = terms[places]
                 order = np.argsort(terms, kind="stable")
                 terms, places = terms[order], places[order]
-                cuts = np.flatnonzero(np.diff(terms)) + 1
-                groups = np.split(places, cuts) if len(terms) else []
                 owner = np.searchsorted(np.array(ends), places, side="right")
-                n_docs = [len(np.unique(g)) for g in (np.split(owner, cuts) if len(terms) else [])]
-                k = len(groups)
+                head = np.concatenate([[True], terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, dtype=bool)
+                new = head.copy()
+                new[1:] |= owner[1:] != owner[:-1]
+                at = np.flatnonzero(head)
                 yield pd.DataFrame(
                     {
-                        "shard": np.full(k + 1, shard),
-                        "term": np.concatenate([[-1], terms[np.concatenate([[0], cuts])] if k else []]).astype(np.int32),
-                        "n_docs": np.array([stop - start, *n_docs], dtype=np.int32),
-                        "docs": [ids[start:stop].tolist(), *[None] * k],
-                        "places": [None, *groups],
-                        "ends": [ends, *[None] * k],
+                        "shard": [shard], "docs": [ids[start:stop].tolist()], "ends": [ends], "terms": [terms[at]], "n_docs": [np.add.reduceat(new.astype(np.int32), at) if len(at) else at.astype(np.int32)],
+                        "bounds": [np.append(at, len(terms)).astype(np.int32)], "places": [places],
                     }
-                )
+                )
                 shard += 1
                 start = stop
 
@@ -191,31 +191,36 @@ def passages(hit: np.ndarray) -> list[tuple[int, int]]:
 _HIT = "item_id bigint, doc_id bigint, item_start int, n_words int, n_replaced int"
 
 
+def _on_lines(lines: np.ndarray, terms: np.ndarray, postings: dict[int, np.ndarray]) -> np.ndarray:
+    """Which words of an item match on which diagonals: the postings of each word, less its place, intersected with them."""
+    hit = np.zeros((len(lines), len(terms)), dtype=bool)
+    for j, t in enumerate(terms.tolist()):
+        p = postings.get(t)
+        if p is not None:
+            want = lines + j
+            at = np.searchsorted(p, want)
+            at[at == len(p)] = 0
+            hit[:, j] = p[at] == want
+    return hit
+
+
 def _probe(items: list[tuple[int, np.ndarray, np.ndarray]]):
     """items: id, terms (-2 for words of an instruction), anchor positions."""
 
-    def run(postings: pd.DataFrame) -> pd.DataFrame:
-        head = postings[postings["term"] == -1].iloc[0]
-        docs, ends = np.asarray(head["docs"]), np.asarray(head["ends"], dtype=np.int64)
-        rest = postings[postings["term"] >= 0]
-        blocks = {t: np.asarray(p, dtype=np.int64) for t, p in zip(rest["term"], rest["places"])}
-        longest = max((len(x[1]) for x in items), default=0)
-        grid = np.full(int(ends[-1] if len(ends) else 0) + 2 * longest, -1, dtype=np.int32)
-        for t, p in blocks.items():
-            grid[p + longest] = t
-        out = []
+    def shard(docs: np.ndarray, ends: np.ndarray, postings: dict[int, np.ndarray]) -> Iterator[tuple]:
         starts = np.concatenate([[0], ends[:-1]])
         for item, terms, anchors in items:
             # Postings of each anchor less its place: the diagonals on which the item may stand.
-            lists = [blocks[terms[a]] - a for a in anchors if terms[a] in blocks]
+            lists = [postings[terms[a]] - a for a in anchors if terms[a] in postings]
             if not lists:
                 continue
             lines = np.unique(np.concatenate(lists))
             n = len(terms)
-            for part in range(0, len(lines), 20_000):
-                at = lines[part : part + 20_000]
-                hit = grid[at[:, None] + np.arange(longest, longest + n)] == terms
-                total = np.cumsum(np.pad(hit, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+            step = max(1, CELLS // n)
+            for part in range(0, len(lines), step):
+                at = lines[part : part + step]
+                hit = _on_lines(at, terms, postings)
+                total = np.cumsum(np.pad(hit, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
                 width = min(MIN_WORDS, n)
                 # MIN_WORDS words of which at most three differ are a part of every passage.
                 near = ((total[:, width:] - total[:, :-width]) >= width - 3).any(axis=1)
@@ -227,9 +232,16 @@ def _probe(items: list[tuple[int, np.ndarray, np.ndarray]]):
                         lo, hi = max(starts[first] - line, 0), min(ends[first] - line, n)
                         for a, b in passages(hit[row, lo:hi]):
                             found = int(hit[row, lo + a : lo + b].sum())
-                            out.append((item, docs[first], lo + a, b - a, b - a - found))
+                            yield item, docs[first], lo + a, b - a, b - a - found
                         first += 1
-        return pd.DataFrame(out, columns=["item_id", "doc_id", "item_start", "n_words", "n_replaced"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for docs, ends, terms, bounds, places in zip(b["docs"], b["ends"], b["terms"], b["bounds"], b["places"]):
+                places = np.asarray(places, dtype=np.int64)
+                postings = {t: places[x:y] for t, x, y in zip(np.asarray(terms).tolist(), bounds[:-1], bounds[1:])}
+                out = list(shard(np.asarray(docs), np.asarray(ends, dtype=np.int64), postings))
+                yield pd.DataFrame(out, columns=["item_id", "doc_id", "item_start", "n_words", "n_replaced"])
 
     return run
 
@@ -252,20 +264,24 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     long document is a shard of its own.
     """
     spark = documents.sparkSession
-    found = None
     src = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    for block in _blocks(cleaned_items(items)):
-        # Bounded by BLOCK_WORDS: the terms of one block of items, and what is known of them.
-        terms = sorted({w for _, ws in block for w in ws if w is not None})
-        vocabulary = {w: k for k, w in enumerate(terms)}
-        index = cut(spread(src).mapInPandas(_index(vocabulary), _POSTING))
-        held = {r["term"]: r["n"] for r in index.where("term >= 0").groupBy("term").agg(F.sum("n_docs").alias("n")).collect()}
+    cleaned = cut(cleaned_items(items))
+    # The terms of all items, not their texts, are held at once: they grow far more slowly than the items.
+    vocabulary: dict[str, int] = {}
+    for block in _blocks(cleaned):
+        for _, ws in block:
+            for w in ws:
+                if w is not None:
+                    vocabulary.setdefault(w, len(vocabulary))
+    found = spark.createDataFrame([], _HIT)
+    if vocabulary:
+        index = cut(spread(src).mapInPandas(_index(vocabulary), _SHARD))
+        each = index.select(F.explode(F.arrays_zip("terms", "n_docs")).alias("t"))
+        held = {r["term"]: r["n"] for r in each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.n_docs").alias("n")).collect()}
         rarity = {w: (held.get(k, 0), k) for w, k in vocabulary.items()}
-        queries = [(item, np.array([-2 if w is None else vocabulary[w] for w in ws], dtype=np.int32), np.array(_anchors(ws, rarity))) for item, ws in block]
-        hits = index.select("shard", "term", "docs", "places", "ends").groupBy("shard").applyInPandas(_probe(queries), _HIT)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], _HIT)
+        for block in _blocks(cleaned):
+            queries = [(item, np.array([-2 if w is None else vocabulary[w] for w in ws], dtype=np.int32), np.array(_anchors(ws, rarity))) for item, ws in block]
+            found = found.unionByName(index.mapInPandas(_probe(queries), _HIT))
     best = F.max_by(F.struct("item_start", "n_words", "n_replaced"), F.struct("n_words", -F.col("n_replaced"), -F.col("item_start"))).alias("b")
     return found.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", "b.*")
 

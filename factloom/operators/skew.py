@@ -40,33 +40,32 @@ def skew_safe_groups(
     order: Sequence[str],
     set_columns: Sequence[str] = (),
     partitions: int | None = None,
+    first_rows: bool = True,
 ) -> DataFrame:
     """One row for each key: n_distinct rows, the number of distinct values of set_columns, and the first row by order.
 
     Result columns: key, n_distinct BIGINT, n_<column> BIGINT for each set column (nulls are no value),
-    first STRUCT of order. Null keys form a group of their own, as in GROUP BY; filter them before if unwanted.
+    first STRUCT of order (left out, with the set columns, if first_rows is false). Null keys form a group of their own, as in GROUP BY; filter them before if unwanted.
     Repeated rows count once; nulls in order compare equal to each other and sort first; an empty table gives no rows;
     columns that are not named are never read. A set column must be one of order; ties cannot occur, since rows are
     distinct over key + order.
     """
     order = list(order)
     names = [key, *order]
-    part = _fresh(names, "part")
-    rows = balanced_distinct(df, [key], order, partitions).withColumn(part, F.spark_partition_id())
-    # A partial state for each key and value set in a partition; the partition id keeps the bounds visible.
+    rows = balanced_distinct(df, [key], order, partitions)
+    # The aggregation makes one partial state for each key (and value set) in each range, before its exchange; the
+    # exchange then stitches the states of keys that cross bounds. No row is moved again.
     first = F.min(F.struct(*[F.struct(F.col(c).isNotNull().alias("s"), F.col(c).alias("v")).alias(c) for c in order])).alias("first")
     if set_columns:
-        values = F.struct(*[F.col(c) for c in set_columns])
-        partial = rows.groupBy(key, part, values.alias("_values")).agg(F.count(F.lit(1)).alias("n_distinct"), first)
-        # Values of a key recur in its other partitions: they are merged first, key by key and value by value.
-        merged = partial.groupBy(key, "_values").agg(F.sum("n_distinct").alias("n_distinct"), F.min("first").alias("first"))
-        counts: list[Column] = [F.countDistinct(F.col(f"_values.{c}")).alias(f"n_{c}") for c in set_columns] if len(set_columns) > 1 else [
-            F.count(F.col(f"_values.{set_columns[0]}")).alias(f"n_{set_columns[0]}")
-        ]
+        value = _fresh(names, "value")
+        # Values of a key recur in its other ranges: they are merged first, key by key and value by value.
+        merged = rows.groupBy(key, F.struct(*[F.col(c) for c in set_columns]).alias(value)).agg(F.count(F.lit(1)).alias("n_distinct"), first)
+        counts: list[Column] = [F.countDistinct(F.col(f"{value}.{c}")).alias(f"n_{c}") for c in set_columns] if len(set_columns) > 1 else [F.count(F.col(f"{value}.{set_columns[0]}")).alias(f"n_{set_columns[0]}")]
         whole = merged.groupBy(key).agg(F.sum("n_distinct").alias("n_distinct"), *counts, F.min("first").alias("first"))
     else:
-        partial = rows.groupBy(key, part).agg(F.count(F.lit(1)).alias("n_distinct"), first)
-        whole = partial.groupBy(key).agg(F.sum("n_distinct").alias("n_distinct"), F.min("first").alias("first"))
+        whole = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_distinct"), *([first] if first_rows else []))
+        if not first_rows:
+            return whole
     plain = F.struct(*[F.col(f"first.{c}.v").alias(c) for c in order]).alias("first")
     return whole.select(key, "n_distinct", *[f"n_{c}" for c in set_columns], plain)
 

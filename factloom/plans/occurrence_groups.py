@@ -22,7 +22,8 @@ def symbol_groups(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    return heavy_keys(symbol_groups(spark, sf_dir), "usr", HEAVY_SHARE).where(NAMED)
+    counts = skew_safe_groups(table(spark, sf_dir, "occurrences"), "usr", ORDER, first_rows=False)
+    return heavy_keys(counts, "usr", HEAVY_SHARE).where(NAMED)
 
 
 def p3_symbol_groups(spark, sf_dir: str) -> DataFrame:

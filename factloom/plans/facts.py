@@ -1,6 +1,6 @@
 """The base tables of a code base, read from the texts of source_files.
 
-Each query here parses what it needs; a code base that is queried often writes read_facts() once and queries that.
+Texts are parsed once a session and the facts written to the shared folder; each query reads only its columns of them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.operators import matcher as m
 from factloom.operators.selection import Roles, Selection
 from factloom.sources.declarations import read_facts, view
-from factloom.session import table
+from factloom.session import cut, table
 
 Q: dict = {}
 
@@ -22,10 +22,16 @@ TABLES = {
 _SHOWN = ["path", "seq", "line", "col", "name", "qualified_name", "enclosing", "keyword", "visibility", "return_type", "type_text", "value", "body_line_count", "cyclomatic_complexity", "owner"]
 
 
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def code_facts(spark, sf_dir: str) -> DataFrame:
-    """Facts of each Swift file, once for each path; of a path that comes twice the greatest text."""
-    f = table(spark, sf_dir, "source_files").where("lang = 'swift' and path is not null and text is not null")
-    return read_facts(f.select("path", "text").distinct())
+    """Facts of each distinct Swift text and its path, parsed and written once a session; all queries read that table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        f = table(spark, sf_dir, "source_files").where("lang = 'swift' and path is not null and text is not null")
+        _written[key] = cut(read_facts(f.select("path", "text").distinct()))
+    return _written[key]
 
 
 def _table(name: str, kind: str, *keywords: str):

@@ -102,26 +102,6 @@ def layering_empty(spark, d):
     return layering.empty_layers(table(spark, d, "source_files").where("path is not null"), _MORE_LAYERS)
 
 
-_DECLARED = [("1-URGENT", "F"), ("1-URGENT", "O"), ("2-HIGH", "F"), ("2-HIGH", "X"), ("5-LOW", "P")]
-
-
-def _declared(spark):
-    return spark.createDataFrame(_DECLARED, "src string, dst string")
-
-
-_DECLARED_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _DECLARED) + ") x(src, dst)"
-
-
-@query(f"SELECT DISTINCT o_orderpriority AS src, o_orderstatus AS dst FROM orders EXCEPT SELECT src, dst FROM {_DECLARED_SQL}")
-def package_undeclared(spark, d):
-    return layering.undeclared(table(spark, d, "orders").select(F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("dst")), _declared(spark))
-
-
-@query(f"SELECT src, dst FROM {_DECLARED_SQL} EXCEPT SELECT o_orderpriority, o_orderstatus FROM orders")
-def package_unused(spark, d):
-    return layering.unused(table(spark, d, "orders").select(F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("dst")), _declared(spark))
-
-
 @query(
     r"""WITH m AS (SELECT DISTINCT regexp_extract(path, '^(Sources/[^/]+)/', 1) AS folder FROM source_files WHERE regexp_matches(path, '^Sources/[^/]+/')),
     held AS (SELECT DISTINCT regexp_extract(path, '^(Sources/[^/]+)/[^/]+/', 1) AS folder, regexp_extract(path, '^Sources/[^/]+/([^/]+)/', 1) AS child FROM source_files WHERE regexp_matches(path, '^Sources/[^/]+/[^/]+/')),
@@ -279,11 +259,6 @@ def earliest_reference(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
-def ambiguous_symbols(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n > 1")
-
-
 @query("SELECT path, folder FROM (SELECT s.path, o.folder, row_number() OVER (PARTITION BY s.path ORDER BY length(o.folder) DESC) AS k FROM (SELECT DISTINCT path FROM source_files WHERE path IS NOT NULL) s JOIN (VALUES ('Sources'), ('Sources/RavenWharfUI'), ('Sources/RavenWharfUI/Views'), ('Scripts')) o(folder) ON starts_with(s.path, o.folder || '/')) WHERE k = 1")
 def nearest_override(spark, d):
     o = spark.createDataFrame([("Sources",), ("Sources/RavenWharfUI",), ("Sources/RavenWharfUI/Views",), ("Scripts",)], "folder string")

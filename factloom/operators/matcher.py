@@ -277,3 +277,79 @@ def call_references(called: Column, labels: Column, identifier: str) -> Column:
         expected = [x for x in rest.rstrip(")").split(":") if x]
         ok = ok & (F.transform(labels, lambda x: F.coalesce(x, F.lit("_"))) == (F.array(*[F.lit(x) for x in expected]) if expected else F.array().cast("array<string>")))
     return ok
+
+
+# Modifiers, attributes and members of facts.
+
+
+def has_modifier(word: str, phrase: str | None = None, modifiers: str = "modifiers") -> Matcher:
+    """A modifier as written, or with its argument in parentheses: 'unowned' also takes 'unowned(safe)'."""
+    return matcher(f"be {phrase or word}", lambda: F.exists(F.col(modifiers), lambda m: two_valued((m == word) | m.startswith(word + "("))))
+
+
+def is_override() -> Matcher:
+    return has_modifier("override", "an override")
+
+
+def is_mutating() -> Matcher:
+    return has_modifier("mutating")
+
+
+def is_dynamic() -> Matcher:
+    return has_modifier("dynamic")
+
+
+def is_nonisolated(unsafe: bool | None = None, modifiers: str = "modifiers") -> Matcher:
+    """unsafe: nonisolated(unsafe) alone (True), nonisolated alone (False), or either."""
+    words = {True: ["nonisolated(unsafe)"], False: ["nonisolated"], None: ["nonisolated", "nonisolated(unsafe)"]}[unsafe]
+    return matcher(f"be {quoted(words) if unsafe is None else words[0]}", lambda: F.exists(F.col(modifiers), lambda m: two_valued(m.isin(*words))))
+
+
+def is_weak() -> Matcher:
+    return has_modifier("weak")
+
+
+def is_lazy() -> Matcher:
+    return has_modifier("lazy")
+
+
+def is_indirect() -> Matcher:
+    return has_modifier("indirect")
+
+
+def is_convenience() -> Matcher:
+    return has_modifier("convenience", "a convenience initializer")
+
+
+def is_static() -> Matcher:
+    return has_modifier("static")
+
+
+def has_attribute_argument(name: str, argument: str, attributes: str = "attributes") -> Matcher:
+    """An attribute whose arguments, as written, hold this one as a whole."""
+    plain = name.lstrip("@")
+    held = lambda a: F.array_contains(F.transform(F.split(a["arguments"], r",(?![^(\[{]*[)\]}])"), lambda x: F.trim(x)), argument)
+    return matcher(f"have the attribute @{plain} with '{argument}'", lambda: F.exists(F.col(attributes), lambda a: two_valued((a["name"] == plain) & held(a))))
+
+
+def attribute(name: str, attributes: str = "attributes") -> Column:
+    """The first attribute of a name, null without one."""
+    return F.try_element_at(F.filter(F.col(attributes), lambda a: two_valued(a["name"] == name.lstrip("@"))), F.lit(1))
+
+
+def has_optional_type(column: str = "type_text") -> Matcher:
+    return matcher("have an optional type", lambda: F.col(column).rlike(r"(?:[?!]|^Optional\s*<.*>)\s*$"))
+
+
+def has_argument_label(*labels: str, column: str = "labels") -> Matcher:
+    return matcher(f"have an argument labelled {quoted(labels)}", lambda: F.exists(F.col(column), lambda x: two_valued(x.isin(*labels))))
+
+
+def imports(*modules: str, column: str = "imports") -> Matcher:
+    """Of a file with its imported modules, see with_imports."""
+    return matcher(f"import {quoted(modules)}", lambda: F.exists(F.col(column), lambda x: two_valued(x.isin(*modules))))
+
+
+def grouped(phrase: str, inner: Matcher) -> Matcher:
+    """A named requirement: one phrase for a tree of matchers, its witness kept."""
+    return matcher(phrase, inner.ok, inner.witness)

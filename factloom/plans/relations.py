@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
-from factloom.operators import edits, graph, index, layering, report
+from factloom.operators import edits, graph, index, layering, report, sequences
 from factloom.session import table
 from factloom.streaming import editor
 
@@ -235,14 +234,13 @@ def first_cycle(spark, d):
 
 @query("SELECT event_id, lag(event_type) OVER w AS previous, lead(event_type) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def token_prev_next(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.lag("event_type").over(w).alias("previous"), F.lead("event_type").over(w).alias("next"))
+    return sequences.with_neighbours(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "previous", "next")
 
 
 @query("SELECT o_orderkey, coalesce(string_agg(CAST(o_orderstatus AS VARCHAR), ',') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM orders")
 def preceding_conditions(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.collect_list("o_orderstatus").over(w), ",").alias("before"))
+    t = sequences.with_preceding(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderstatus")
+    return t.select("o_orderkey", F.array_join("preceding", ",").alias("before"))
 
 
 @query(
@@ -256,7 +254,8 @@ def overlap_edits(spark, d):
 
 @query("SELECT user_id, event_type, min(ts) AS first_at, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY ALL")
 def earliest_reference(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_at"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))
+    e = sequences.earliest(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "ts", "event_id")
+    return e.select("user_id", "event_type", F.col("ts").alias("first_at"), F.col("event_id").alias("first_event"))
 
 
 @query("SELECT path, folder FROM (SELECT s.path, o.folder, row_number() OVER (PARTITION BY s.path ORDER BY length(o.folder) DESC) AS k FROM (SELECT DISTINCT path FROM source_files WHERE path IS NOT NULL) s JOIN (VALUES ('Sources'), ('Sources/RavenWharfUI'), ('Sources/RavenWharfUI/Views'), ('Scripts')) o(folder) ON starts_with(s.path, o.folder || '/')) WHERE k = 1")
@@ -307,10 +306,17 @@ def incremental_rules(spark, d):
 # Edits and reports.
 
 
-@query("SELECT file_id, '// checked' || chr(10) || text AS text FROM (SELECT DISTINCT file_id, text FROM source_files WHERE lang = 'c')")
+@query(
+    """SELECT file_id, '// checked' || chr(10) || regexp_replace(text, 'let ', 'LET ') || chr(10) || '// end' AS text FROM (SELECT DISTINCT file_id, text FROM source_files WHERE file_id IS NOT NULL AND text IS NOT NULL)"""
+)
 def edits_applied(spark, d):
-    f = table(spark, d, "source_files").where("lang = 'c'").select("file_id", "text").distinct()
-    e = f.select("file_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("// checked\n").alias("replacement"))
+    """Three edits of each file at byte offsets: before its text, in it (the first 'let ', if there is one) and after it."""
+    f = table(spark, d, "source_files").where("file_id is not null and text is not null").select("file_id", "text").distinct()
+    at = F.octet_length(F.substring_index("text", "let ", 1))
+    end = F.octet_length("text")
+    edit = lambda a, b, t: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(t).alias("replacement"))
+    inner = F.when(F.contains("text", F.lit("let ")), F.array(edit(at, at + 4, "LET "))).otherwise(F.array().cast("array<struct<start:int,end:int,replacement:string>>"))
+    e = f.select("file_id", F.inline(F.concat(F.array(edit(F.lit(0), F.lit(0), "// checked\n")), inner, F.array(edit(end, end, "\n// end")))))
     return edits.apply_edits(f, e, "file_id")
 
 
@@ -386,4 +392,4 @@ def report_summary(spark, d):
 
 @query("SELECT DISTINCT message FROM parse_diagnostics")
 def distinct_warnings(spark, d):
-    return table(spark, d, "parse_diagnostics").select("message").distinct()
+    return sequences.distinct_warnings(table(spark, d, "parse_diagnostics"), "message")

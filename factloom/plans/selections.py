@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import docs, paths
 from factloom.functions.versions import version_key
+from factloom.operators import collections_ as c
 from factloom.operators import matcher as m
 from factloom.operators.selection import Roles, Selection, combined
 from factloom.session import table
@@ -241,44 +242,44 @@ def prefix_while(spark, d):
 
 @query("SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS keys FROM part GROUP BY p_brand")
 def group_dictionary(spark, d):
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("k"))
-    return g.select("p_brand", F.array_join(F.col("k").cast("array<string>"), ",").alias("keys"))
+    g = c.grouped(table(spark, d, "part"), ["p_brand"], "p_partkey")
+    return c.map_values(g, ["p_brand"], keys=F.array_join(F.col("values").cast("array<string>"), ","))
 
 
 @query("SELECT p_brand, count(*) AS n, max(p_size) AS largest FROM part GROUP BY p_brand")
 def map_values(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("p_size").alias("largest"))
+    return c.reduced_groups(table(spark, d, "part"), ["p_brand"], n=F.count(F.lit(1)), largest=F.max("p_size"))
 
 
 @query("SELECT DISTINCT event_type FROM events")
 def set_distinct(spark, d):
-    return table(spark, d, "events").select("event_type").distinct()
+    return c.distinct(table(spark, d, "events"), "event_type")
 
 
 @query("SELECT module, bool_or(keyword = 'actor') AS any_actor, bool_and(visibility = 'internal') AS all_internal FROM type_decls GROUP BY module")
 def bool_or_and(spark, d):
-    return table(spark, d, "type_decls").groupBy("module").agg(F.bool_or(F.col("keyword") == "actor").alias("any_actor"), F.bool_and(F.col("visibility") == "internal").alias("all_internal"))
+    return c.any_and_all(table(spark, d, "type_decls"), ["module"], {"any_actor": F.col("keyword") == "actor"}, {"all_internal": F.col("visibility") == "internal"})
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
+    return c.union(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 def set_difference(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, d, "supplier").where("s_acctbal > 9000").select("s_nationkey"))
+    return c.difference(table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(spark, d):
-    return table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select("s_nationkey"))
+    return c.intersection(table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT type_id, observed_at, coalesce(list_has_all(['Sendable','Codable','Equatable'], inherited), true) AS subset FROM type_decls WHERE inherited IS NOT NULL")
 def is_subset(spark, d):
     s = F.array(F.lit("Sendable"), F.lit("Codable"), F.lit("Equatable"))
-    return table(spark, d, "type_decls").where("inherited is not null").select("type_id", "observed_at", (F.size(F.array_except("inherited", s)) == 0).alias("subset"))
+    return table(spark, d, "type_decls").where("inherited is not null").select("type_id", "observed_at", c.is_subset(F.col("inherited"), s).alias("subset"))
 
 
 @query(
@@ -301,8 +302,8 @@ def path_scalars(spark, d):
 
 @query("SELECT file_id, coalesce(language_mode, 'none') AS mode, language_mode IS NOT DISTINCT FROM '5' AS is_five, language_mode IS DISTINCT FROM '5' AS not_five FROM source_files")
 def optional_coalesce(spark, d):
-    c = F.col("language_mode")
-    return table(spark, d, "source_files").select("file_id", F.coalesce(c, F.lit("none")).alias("mode"), c.eqNullSafe("5").alias("is_five"), (~c.eqNullSafe("5")).alias("not_five"))
+    v = F.col("language_mode")
+    return table(spark, d, "source_files").select("file_id", F.coalesce(v, F.lit("none")).alias("mode"), v.eqNullSafe("5").alias("is_five"), (~v.eqNullSafe("5")).alias("not_five"))
 
 
 @query("SELECT greatest(0, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN -2 ELSE 0 END)) AS weight, user_id FROM events GROUP BY user_id")
@@ -311,10 +312,29 @@ def weighted_sum(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.greatest(F.lit(0), F.sum(w)).alias("weight"))
 
 
-@query(r"SELECT file_id, seq, len(regexp_extract_all(documentation, '-\s+[Pp]arameter\s+(\w+)\s*:', 1)) AS n_single, regexp_matches(documentation, '-\s+[Rr]eturns?\s*:') AS has_result FROM function_decls WHERE documentation IS NOT NULL AND NOT contains(documentation, '- Parameters:')")
+@query(
+    r"""SELECT file_id, seq, len(regexp_extract_all(documentation, '-\s+[Pp]arameter\s+(\w+)\s*:', 1)) + CASE WHEN regexp_matches(documentation, '-\s+[Pp]arameters:') THEN
+    len(list_filter(string_split_regex(regexp_extract(documentation, '-\s+[Pp]arameters:([\s\S]*)$', 1), '\r\n|\r|\n'), lambda x: regexp_matches(x, '^[\s/*]*-\s+\w+\s*:') AND NOT regexp_matches(x, '-\s+(Parameters?|Returns?|Throws|Note|Warning|Important|SeeAlso|Complexity|Precondition|Postcondition|Requires|Since|Todo|Version|Attention|Bug|Remark|Tip)\b')))
+    ELSE 0 END AS n_parameters, regexp_matches(documentation, '-\s+[Rr]eturns?\s*:') AS has_result FROM function_decls WHERE documentation IS NOT NULL"""
+)
 def documented_parameters(spark, d):
-    t = table(spark, d, "function_decls").where("documentation is not null and not contains(documentation, '- Parameters:')")
-    return t.select("file_id", "seq", F.size(docs.documented_parameters(F.col("documentation"))).cast("bigint").alias("n_single"), docs.documents_result(F.col("documentation")).alias("has_result"))
+    t = table(spark, d, "function_decls").where("documentation is not null")
+    return t.select("file_id", "seq", F.size(docs.documented_parameters(F.col("documentation"))).cast("bigint").alias("n_parameters"), docs.documents_result(F.col("documentation")).alias("has_result"))
+
+
+@query("SELECT type_id, observed_at, list_sort(list_transform(list_filter(inherited, lambda x: contains(x, '<')), lambda x: length(x))) AS lengths, coalesce(inherited[1], 'none') AS first FROM type_decls WHERE inherited IS NOT NULL")
+def array_scalars(spark, d):
+    """filter, map and sorted(by:) on lists, and a subscript that may be out of range."""
+    x = F.col("inherited")
+    lengths = c.sorted_by(F.transform(F.filter(x, lambda e: e.contains("<")), lambda e: F.length(e).cast("bigint")), lambda a, b: a < b)
+    return table(spark, d, "type_decls").where("inherited is not null").select("type_id", "observed_at", lengths.alias("lengths"), F.coalesce(F.when(F.size(x) > 0, c.subscript(x, F.lit(0))), F.lit("none")).alias("first"))
+
+
+@query("SELECT line_count >= 10 AND line_count < 40 AS half_open, line_count BETWEEN 10 AND 40 AS closed, line_count >= 100 AS open_ended, count(*) AS n FROM (SELECT coalesce(line_count, -1) AS line_count FROM source_files) GROUP BY ALL")
+def ranges(spark, d):
+    v = F.coalesce(F.col("line_count"), F.lit(-1))
+    t = table(spark, d, "source_files").select(c.in_range(v, F.lit(10), F.lit(40)).alias("half_open"), c.in_range(v, F.lit(10), F.lit(40), closed=True).alias("closed"), c.in_range(v, F.lit(100)).alias("open_ended"))
+    return t.groupBy("half_open", "closed", "open_ended").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT p_size, p_size // 10 || '.' || p_size % 10 || '.0' AS version, p_size // 10 > 2 OR (p_size // 10 = 2 AND p_size % 10 >= 5) AS at_least FROM part")

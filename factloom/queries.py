@@ -62,3 +62,4 @@ for _part in (selections, relations, packages):
     QUERIES |= _part.Q
     SQL |= _part.SQL
 QUERIES |= facts.Q
+SQL |= facts.SQL

@@ -54,6 +54,7 @@ class _File:
             elif x in (")", "]", "}") and stack:
                 self.close[stack.pop()] = i
         self.heads: set[int] = set()
+        self.spans: list[tuple[str, int, int, str | None]] = []  # declarations: keyword, first token, token after, name
 
     def end_of(self, i: int) -> int:
         return self.close.get(i, self.n - 1)
@@ -206,6 +207,7 @@ class _File:
             visibility = next((m for m in modifiers if m in VISIBILITY), default)
             common = {"first": first, "enclosing": enclosing, "visibility": visibility, "modifiers": modifiers, "attributes": [{"name": a, "arguments": b} for a, b in attributes], "documentation": self.documentation(first)}
             i = getattr(self, "_" + ("type" if x in TYPES else "property" if x in ("var", "let") else x))(j, end, enclosing, common)
+            self.spans.append((x, first, i, self.s[j + 1].strip("`") if j + 1 < end and x not in ("init", "deinit", "subscript") else None))
 
     def _import(self, i, end, enclosing, common):
         j = i + 1

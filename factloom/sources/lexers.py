@@ -267,183 +267,3 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
     t.add(0, n, True)
     t.add(0, n, True)
     return t
-
-
-_JSON = re.compile(r'(?P<space>[ \t\r\n]+)|(?P<mark>[{}\[\],:])|(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*")|(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<word>true\b|false\b|null\b)')
-
-
-def json_tokens(text: str, kinds: dict[str, int]) -> Tokens:
-    t = Tokens()
-    at, fresh, n = (1 if text.startswith("﻿") else 0), True, len(text)
-    while at < n:
-        m = _JSON.match(text, at)
-        if m is None:
-            marker = fresh and (at == 0 or text[at - 1] in "\r\n") and _MARKER.match(text, at)
-            t.bad(at, fresh, MARKER if marker else OPEN_STRING if text[at] == '"' else STRAY)
-            break
-        what = m.lastgroup
-        if what == "space":
-            fresh = fresh or "\n" in m.group() or "\r" in m.group()
-        else:
-            t.add(kinds[m.group() if what == "mark" else what.upper()], at, fresh)
-            fresh = False
-        at = m.end()
-    t.add(0, n, True)
-    return t
-
-
-_PY = re.compile(
-    r"""(?P<space>[ \t\f]+|\\(?:\r\n|\r|\n))|(?P<line>\r\n|\r|\n)|(?P<note>\#[^\r\n]*)
-|(?P<string>(?:[rR][bB]?|[bB][rR]?|[uU]|[fF][rR]?|[rR][fF]|[tT][rR]?)?(?:'''|\"{3}|'|\"))
-|(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))
-|(?P<name>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|>>|<<|<=|>=|==|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>()\[\]{},:.;=])""",
-    re.X,
-)
-_PY_INDENT = re.compile(r"[ \t\f]*")
-_PY_BODIES = {q: re.compile((r"(?:[^\\" + q[0] + r"]|\\[\s\S]|" + q[0] + r"(?!" + q[0] * 2 + r"))*" if len(q) == 3 else r"(?:[^\\\r\n" + q + r"]|\\(?:\r\n|[\s\S]))*") + q) for q in ("'", '"', "'''", '"""')}
-
-
-def python_tokens(text: str, kinds: dict[str, int]) -> Tokens:
-    t = Tokens()
-    at, n, depth, indents = (1 if text.startswith("﻿") else 0), len(text), 0, [0]
-    newline, indent, dedent = kinds["NEWLINE"], kinds["INDENT"], kinds["DEDENT"]
-    fresh, empty = True, True  # at a line's start; no token on this logical line yet
-    while at < n:
-        if fresh and not depth:
-            m = _PY_INDENT.match(text, at)
-            at = m.end()
-            fresh = False
-            if at < n and text[at] not in "#\r\n":
-                if at == m.start() and _MARKER.match(text, at):
-                    t.bad(at, True, MARKER)
-                    break
-                width = len(m.group().expandtabs(8))
-                if width > indents[-1]:
-                    indents.append(width)
-                    t.add(indent, at, True)
-                while width < indents[-1]:
-                    indents.pop()
-                    t.add(dedent, at, True)
-                if width != indents[-1]:
-                    t.bad(at, True, "this indentation fits no block")
-                    break
-            continue
-        m = _PY.match(text, at)
-        if m is None:
-            t.bad(at, False, STRAY)
-            break
-        what, start, at = m.lastgroup, at, m.end()
-        if what in ("space", "note"):
-            continue
-        if what == "line":
-            if not depth:
-                if not empty:
-                    t.add(newline, start, False)
-                fresh = empty = True
-            elif _MARKER.match(text, at) and text[at] != "=":
-                t.bad(at, True, MARKER)
-                break
-            continue
-        empty = False
-        if what == "string":
-            q = m.group().lstrip("rRbBuUfFtT")
-            e = _PY_BODIES[q].match(text, at)
-            if not e:
-                t.bad(start, False, OPEN_STRING)
-                break
-            at = e.end()
-            t.add(kinds["STRING"], start, False)
-        elif what == "name":
-            t.add(kinds.get(m.group(), kinds["NAME"]), start, False)
-        elif what == "number":
-            t.add(kinds["NUMBER"], start, False)
-        else:
-            s = m.group()
-            depth += (s in "([{") - (s in ")]}")
-            depth = max(depth, 0)
-            t.add(kinds.get(s, BAD), start, False)
-    if not t.errors:
-        if not empty:
-            t.add(newline, n, False)
-        for _ in indents[1:]:
-            t.add(dedent, n, False)
-    t.add(0, n, True)
-    return t
-
-
-_C = re.compile(
-    r"""(?P<space>[ \t\f\v]+|\\(?:\r\n|\r|\n))|(?P<line>\r\n|\r|\n)|(?P<note>//(?:[^\r\n\\]|\\(?:\r\n|[\s\S]))*)|(?P<block>/\*)
-|(?P<string>(?:u8|[LuU])?\")|(?P<char>(?:[LuU])?'(?:[^'\\\r\n]|\\[^\r\n])+')
-|(?P<number>(?:0[xX][0-9a-fA-F']*(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?|\.?\d(?:[\d']|\.|[eE][+-]?)*)[uUlLfFzZ]*(?!\w))
-|(?P<name>[^\W\d]\w*)|(?P<hash>\#)|(?P<op><<=|>>=|\.\.\.|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^~<>()\[\]{},:.;=?!])""",
-    re.X,
-)
-_C_STRING = re.compile(r'(?:[^"\\\r\n]|\\(?:\r\n|[\s\S]))*"')
-_C_DIRECTIVE = re.compile(r"#[ \t]*(\w*)((?:[^\r\n\\/]|\\(?:\r\n|[\s\S])|/(?![*/])|/\*[\s\S]*?\*/|//[^\r\n]*)*)")
-_C_DIRECTIVES = {"", "include", "define", "undef", "pragma", "error", "warning", "line", "import", "include_next", "if", "ifdef", "ifndef", "elif", "elifdef", "elifndef", "else", "endif"}
-
-
-def c_tokens(text: str, kinds: dict[str, int]) -> Tokens:
-    """Preprocessor lines are checked here (known names, matched conditions) and of each condition the first branch is taken."""
-    t = Tokens()
-    at, n, fresh = (1 if text.startswith("﻿") else 0), len(text), True
-    conditions: list[bool] = []  # whether the branch that is read is not the first
-    while at < n:
-        m = _C.match(text, at)
-        if m is None:
-            t.bad(at, fresh, STRAY)
-            break
-        what, start, at = m.lastgroup, at, m.end()
-        if what == "space":
-            continue
-        if what == "line":
-            fresh = True
-            continue
-        if what == "note":
-            continue
-        if what == "block":
-            at = text.find("*/", at) + 2
-            if at < 2:
-                t.bad(start, fresh, OPEN_COMMENT)
-                break
-            continue
-        if what == "hash" and fresh:
-            d = _C_DIRECTIVE.match(text, start)
-            at, name, rest = d.end(), d.group(1), d.group(2).strip()
-            if name not in _C_DIRECTIVES or name in ("if", "ifdef", "ifndef", "elif", "define", "include", "undef") and not rest or name in ("ifdef", "ifndef", "undef") and not re.match(r"[A-Za-z_]\w*", rest):
-                t.bad(start, True, "unknown compiler directive" if name not in _C_DIRECTIVES else "the directive is not complete")
-                break
-            if name.startswith("if"):
-                conditions.append(False)
-            elif name in ("endif", "else") or name.startswith("elif"):
-                if not conditions:
-                    t.bad(start, True, f"#{name} without #if")
-                    break
-                conditions.pop()
-                if name != "endif":
-                    conditions.append(True)
-            continue
-        other = any(conditions)
-        if what == "string":
-            e = _C_STRING.match(text, at)
-            if not e:
-                t.bad(start, fresh, OPEN_STRING)
-                break
-            at = e.end()
-            if not other:
-                t.add(kinds["STRING"], start, fresh)
-        elif fresh and m.group()[0] in "<>=|" and _MARKER.match(text, start) and (start == 0 or text[start - 1] in "\r\n"):
-            t.bad(start, True, MARKER)
-            break
-        elif not other:
-            if what == "name":
-                t.add(kinds.get(m.group(), kinds["NAME"]), start, fresh, m.group())
-            elif what in ("number", "char"):
-                t.add(kinds["NUMBER"], start, fresh)
-            else:
-                t.add(kinds.get(m.group(), BAD), start, fresh)
-        fresh = False
-    if conditions and not t.errors:
-        t.bad(n, True, "#endif is missing")
-    t.add(0, n, True)
-    return t

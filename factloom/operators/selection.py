@@ -25,8 +25,15 @@ class Roles:
 
 
 @dataclass(frozen=True)
-class Warning_:
-    message: str
+class NameFilter:
+    """A filter as a value: kind is named, suffixed, prefixed, name_matching, excluding, under or outside."""
+
+    kind: str
+    values: tuple[str, ...]
+
+    def __post_init__(self):
+        if self.kind not in ("named", "suffixed", "prefixed", "name_matching", "excluding", "under", "outside"):
+            raise ValueError(f"there is no filter '{self.kind}'")
 
 
 @dataclass(frozen=True)
@@ -80,6 +87,13 @@ class Selection:
         s = self._with(self.df.where(F.col(self.roles.path).isNotNull() & ~paths.under(F.col(self.roles.path), inside)), f"outside {quoted(inside)}")
         return replace(s, warnings=(*s.warnings, *(f"'{d}' is outside the codebase root" for d in bad)))
 
+    def filtering(self, filters: Sequence[NameFilter]) -> "Selection":
+        """All of the filters, in order; without any the selection as it is."""
+        s = self
+        for f in filters:
+            s = getattr(s, f.kind)(*f.values)
+        return s
+
     # Order and size.
 
     def sorted(self, *keys: str, reverse: bool = False) -> "Selection":
@@ -118,6 +132,13 @@ class Selection:
         rows = self.df.orderBy(*self._order()).limit(1).collect()
         return rows[0] if rows else None
 
+    def __getitem__(self, index: int):
+        """The row at an index from 0; outside the selection an error."""
+        rows = self.df.orderBy(*self._order()).offset(index).limit(1).collect() if index >= 0 else []
+        if not rows:
+            raise IndexError(f"index {index} is out of range: {self.description}")
+        return rows[0]
+
     def only(self):
         rows = self.df.limit(2).collect()
         if len(rows) != 1:
@@ -150,6 +171,20 @@ class Selection:
         return out
 
 
+    def inspect_rows(self, base: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """step, query, keys, selected: of each step the rows it was given and whether it kept them."""
+        out, before = None, base.select(*keys)
+        for n, (text, df) in enumerate(self.steps):
+            kept = df.select(*keys).distinct().withColumn("_kept", F.lit(True))
+            on = F.lit(True)
+            for k in keys:
+                on = on & before[k].eqNullSafe(kept[k])
+            rows = before.join(kept, on, "left").select(F.lit(n).alias("step"), F.lit(text).alias("query"), *[before[k] for k in keys], F.col("_kept").isNotNull().alias("selected"))
+            out = rows if out is None else out.unionByName(rows)
+            before = df.select(*keys)
+        return out
+
+
 def _either(tests: list[Column]) -> Column:
     c = F.lit(False)
     for t in tests:
@@ -193,6 +228,11 @@ class Violations:
         )
 
 
+def manual(rule: str, offenders: DataFrame, checked: DataFrame, roles: Roles = Roles()) -> Violations:
+    """Violations found by other means: offenders and the rows that were looked at."""
+    return Violations(offenders if "witness" in offenders.columns else offenders.withColumn("witness", F.lit(None)), rule, checked, roles)
+
+
 def combined(*checks: Violations) -> tuple[DataFrame, DataFrame]:
     """The offenders of several checks, and the sums of their counts."""
     rows, counts = checks[0].erased(), checks[0].counts()

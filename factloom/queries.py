@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, inheritance, occurrence_groups, packages, relations, selections
+from factloom.plans import changes, facts, inheritance, occurrence_groups, packages, relations, selections
 
 QUERIES = {
     "p3_found": occurrence_groups.p3_found,
@@ -58,7 +58,7 @@ FROM s LEFT JOIN l ON l.node = s.node LEFT JOIN tree ON tree.node = s.node LEFT
     "p4_descendants": f"WITH RECURSIVE {_LINKS} SELECT up.anc AS ancestor, up.node AS descendant, up.d AS distance FROM up JOIN tree ON tree.node = up.node",
 }
 
-for _part in (selections, relations, packages):
+for _part in (selections, relations, packages, changes):
     QUERIES |= _part.Q
     SQL |= _part.SQL
 QUERIES |= facts.Q

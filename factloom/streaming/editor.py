@@ -74,3 +74,51 @@ def interleaved(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """previous and next event of each key, as a token knows its neighbours."""
     w = Window.partitionBy(key).orderBy(*order)
     return events.withColumn("previous", F.lag(order[-1]).over(w)).withColumn("next", F.lead(order[-1]).over(w))
+
+
+_GOOD = "generation long, result string, is_good boolean"
+
+
+def _keep(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    generation, result, good = state.get if state.exists else (-1, None, False)
+    for b in batches:
+        for g, r, ok in sorted(zip(b["generation"], b["result"], b["parsed"]), key=lambda x: x[0]):
+            if g > generation:
+                # A text that does not parse leaves the last good result in place.
+                generation, result, good = int(g), r if ok else result, bool(ok) or good
+    state.update((generation, result, good))
+    yield pd.DataFrame({"uri": [key[0]], "generation": [generation], "result": [result], "is_good": [good]})
+
+
+def last_good_results(results: DataFrame) -> DataFrame:
+    """A stream of (uri, generation, result, parsed): the newest result of each uri whose text parsed; later ones that did
+    not only raise the generation."""
+    return results.groupBy("uri").applyInPandasWithState(_keep, "uri string, generation long, result string, is_good boolean", _GOOD, "update", "NoTimeout")
+
+
+def snapshot(old: DataFrame, new: DataFrame, open_: DataFrame) -> DataFrame:
+    """What to publish: uri and diagnostics of all files that had, have or are open; those without any now come out empty.
+    old and new: uri, diagnostics ARRAY; open_: uri."""
+    kind = new.schema["diagnostics"].dataType
+    all_ = old.select("uri").unionByName(new.select("uri")).unionByName(open_.select("uri")).where("uri is not null").distinct()
+    return all_.join(new, "uri", "left").select("uri", F.coalesce("diagnostics", F.array().cast(kind)).alias("diagnostics"))
+
+
+def utf16_column(line: "F.Column", byte_column: "F.Column") -> "F.Column":
+    """The column in UTF-16 code units, from 0, of a column in UTF-8 bytes, from 1, on a line; beyond its end the end."""
+    before = F.decode(F.substring(F.encode(line, "UTF-8"), F.lit(1), F.greatest(byte_column - 1, F.lit(0)).cast("int")), "UTF-8")
+    return (F.length(before) + F.regexp_count(before, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("int")
+
+
+def captured(inputs: DataFrame) -> DataFrame:
+    """rule, kind, path: what rules read, once each, of (rule, kind, path); a rule with an input of another kind than file,
+    descendants or marker cannot be kept and has no row."""
+    known = inputs.where(F.col("kind").isin("file", "descendants", "marker") & F.col("path").isNotNull())
+    loose = inputs.join(known, ["rule", "kind", "path"], "left_anti").select("rule").distinct()
+    return known.select("rule", "kind", "path").distinct().join(loose, "rule", "left_anti")
+
+
+def invalidated(results: DataFrame, changed: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Kept results (rule, ...) without those of rules that a change affects or whose inputs are not known."""
+    kept = results.join(dependencies.select("rule").distinct(), "rule", "left_semi")
+    return kept.join(affected_rules(changed, dependencies), "rule", "left_anti")

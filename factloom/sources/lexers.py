@@ -118,6 +118,7 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
     stack: list[list] = []
     number, string = kinds["NUMBER"], kinds["STRING"]
     post, pre, binary = kinds["POST"], kinds["PRE"], kinds["BINARY"]
+    dot, plain = kinds["."], {"=": kinds["="], "->": kinds["->"]}
 
     def string_part(start: int, at: int, hashes: int, many: bool, began: bool) -> int:
         """Scans on to the end or an interpolation; gives the place after it, or -1."""
@@ -182,9 +183,16 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
             continue
         elif what == "dots":
             s = m.group(what)
+            if s == ".":
+                put_kind(dot)
+                put_start(start)
+                put_first(fresh)
+                put_text(s)
+                fresh = False
+                continue
             # Without a value before it, ..< stands before its only one.
             alone = s == "..<" and (start == 0 or text[start - 1] in _OPENERS) and at < n and text[at] not in _CLOSERS
-            add(kinds["."] if s == "." else pre if alone else binary if s == "..<" else kinds["..."], start, fresh, s)
+            add(pre if alone else binary if s == "..<" else kinds["..."], start, fresh, s)
         elif what == "number":
             add(number, start, fresh, m.group(what))
         elif what == "quote":
@@ -201,6 +209,14 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
             continue
         elif what == "op":
             s = m.group(what)
+            # The commonest operators are the same wherever they stand.
+            if s in plain:
+                put_kind(plain[s])
+                put_start(start)
+                put_first(fresh)
+                put_text(s)
+                fresh = False
+                continue
             # No operator of seven such signs stands alone at the start of a line, indented or not.
             if fresh and s[0] in "<>=|" and _MARKER.match(text, start):
                 t.bad(start, True, MARKER)
@@ -228,7 +244,7 @@ def swift_tokens(text: str, kinds: dict[str, int]) -> Tokens:
                 add(kinds["?"] if s == "?" else kinds["!"], start, fresh, s)
             elif s == "?":
                 add(kinds["TERNARY"], start, fresh, s)
-            elif s in ("=", "->", "<", ">", "&"):
+            elif s in ("=", "<", ">", "&"):
                 add(kinds[s] if s != "&" or (right and not left) else kinds["AMP"], start, fresh, s)
             else:
                 add(binary if left == right else post if left else pre, start, fresh, s)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import dependencies, layering, packages
 from factloom.plans.facts import code_facts
+from factloom.plans.relations import WALK_SQL
 from factloom.session import table
 from factloom.sources.declarations import view
 from factloom.sources.manifest import SCHEMA
@@ -132,7 +133,12 @@ def dependency_group_edges(spark, d):
     return dependencies.group_edges(table(spark, d, "occurrences"), _GROUPS).drop("seq")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_INDEX}, g AS (SELECT {_GROUP_SQL.replace('@', 'src_file')} AS src, {_GROUP_SQL.replace('@', 'dst_file')} AS dst, src_file, dst_file, place FROM fr),
+    f AS (SELECT src, dst, min((src_file, struct_extract_at(place, 1), struct_extract_at(place, 2), dst_file)) AS x FROM g WHERE src <> dst GROUP BY 1, 2),
+    e AS (SELECT src, dst, x, (struct_extract_at(x, 1), struct_extract_at(x, 2), struct_extract_at(x, 3), src, dst) AS k FROM f), {WALK_SQL}, st AS (SELECT generate_subscripts(c, 1) AS i, unnest(c) AS node FROM cy)
+    SELECT CAST(a.i - 1 AS INT) AS step, e.src, e.dst, struct_extract_at(x, 1) AS src_file, struct_extract_at(x, 2) AS line, struct_extract_at(x, 3) AS col, struct_extract_at(x, 4) AS dst_file FROM st a JOIN st b ON b.i = a.i + 1 JOIN e ON e.src = a.node AND e.dst = b.node"""
+)
 def dependency_cycle(spark, d):
     return dependencies.check_cycles(table(spark, d, "occurrences"), _GROUPS)
 

@@ -224,7 +224,16 @@ def acyclic_core(spark, d):
     return graph.trimmed(_module_edges(spark, d)).select("src", "dst")
 
 
-@query()
+#: From edges e (src, dst, k: their order): the walk over first edges to nodes that lead to a cycle, from the first such
+#: node; its last node closes the cycle.
+WALK_SQL = """rc AS (SELECT src, dst FROM e UNION SELECT rc.src, e.dst FROM rc JOIN e ON e.src = rc.dst), ri AS (SELECT src AS node FROM rc WHERE src = dst),
+lv AS (SELECT src AS node FROM rc WHERE dst IN (FROM ri) UNION FROM ri), fe AS (SELECT src, arg_min(dst, k) AS nx FROM e WHERE dst IN (FROM lv) GROUP BY src),
+sn AS (SELECT arg_min(node, (k, i)) AS node FROM (SELECT src AS node, k, 0 AS i FROM e UNION ALL SELECT dst, k, 1 FROM e) WHERE node IN (FROM lv)),
+wk AS (SELECT node, [node] AS path, false AS done FROM sn WHERE node IS NOT NULL UNION ALL SELECT fe.nx, list_append(path, fe.nx), list_contains(path, fe.nx) FROM wk JOIN fe ON fe.src = wk.node WHERE NOT done),
+cy AS (SELECT path[list_position(path, node):] AS c FROM wk WHERE done)"""
+
+
+@query(f"WITH RECURSIVE {_MODULES_SQL.replace('SELECT DISTINCT o.module AS src, w.dst FROM', 'SELECT DISTINCT o.module AS src, w.dst, (o.module, w.dst) AS k FROM')}, {WALK_SQL} SELECT CAST(generate_subscripts(c, 1) - 1 AS INT) AS step, unnest(c) AS module FROM cy")
 def first_cycle(spark, d):
     c = graph.first_cycle(_module_edges(spark, d))
     return spark.createDataFrame(list(enumerate(c)), "step int, module string")

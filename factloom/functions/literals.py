@@ -75,6 +75,21 @@ def callee(text: Column) -> Column:
     return F.when(t != "", t)
 
 
+def without_generics(text: Column) -> Column:
+    """The text without <...>, nested to any depth; the arrow of a function type closes nothing."""
+
+    def step(a: Column, ch: Column) -> Column:
+        closes = (ch == ">") & (a["before"] != "-") & (a["depth"] > 0)
+        depth = F.when(ch == "<", a["depth"] + 1).when(closes, a["depth"] - 1).otherwise(a["depth"])
+        kept = F.when((a["depth"] == 0) & (ch != "<"), F.concat(a["kept"], ch)).otherwise(a["kept"])
+        return F.struct(depth.alias("depth"), kept.alias("kept"), ch.alias("before"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"), F.lit("").alias("before"))
+    # A text of one level, the usual case, needs no walk over its signs.
+    plain = F.regexp_replace(text, r"<[^<>]*>", "")
+    return F.when(~plain.rlike("[<>]"), plain).otherwise(F.aggregate(F.split(text, ""), start, step, lambda a: a["kept"]))
+
+
 def simple_type_name(text: Column) -> Column:
     """The last part of a type name without generic arguments and optional marks."""
     return F.regexp_extract(F.regexp_replace(text, r"<.*>|[?!]+$", ""), r"([^.]+)$", 1)

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.literals import without_generics
 from factloom.operators.matcher import bare
 from factloom.session import cut
 
 
 def _plain(entry):
-    e = bare(F.trim(entry))
-    for _ in range(6):
-        e = F.regexp_replace(e, r"<[^<>]*>", "")
-    return F.trim(e)
+    return F.trim(without_generics(bare(F.trim(entry))))
 
 
 def resolved(names: DataFrame, declared: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import literals
-from factloom.operators import corrections, dependencies, sequences
+from factloom.operators import corrections, dependencies, rules, sequences
 from factloom.operators import matcher as m
 from factloom.operators.selection import NameFilter
 from factloom.plans.selections import types
@@ -118,3 +118,15 @@ def parameter_types(spark, d):
     t = F.col("t")
     p = table(spark, d, "function_decls").select(F.explode("parameters").alias("p")).select(F.col("p.type_text").alias("t"))
     return p.groupBy(t, literals.is_set_type(t).alias("is_set"), literals.is_dictionary_type(t).alias("is_dictionary"), literals.simple_type_name(t).alias("simple")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_RULES = {"final": m.flag("final", "is_final"), "documented": m.has_documentation(), "short": m.field("line") <= 200, "public": m.is_public()}
+
+
+@query(
+    """SELECT rule_id, CAST(count(*) AS BIGINT) AS checked_count, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS violation_count FROM (SELECT unnest([{'i': 'final', 'ok': coalesce(is_final, false)}, {'i': 'documented', 'ok': documentation IS NOT NULL},
+    {'i': 'short', 'ok': coalesce(line <= 200, false)}, {'i': 'public', 'ok': coalesce(visibility IN ('public', 'open'), false)}]) AS x FROM type_decls) CROSS JOIN LATERAL (SELECT x.i AS rule_id, x.ok AS ok) GROUP BY rule_id"""
+)
+def rules_one_scan(spark, d):
+    """Four rules over all types in one scan."""
+    return rules.check_all(types(spark, d), _RULES).counts

@@ -125,7 +125,23 @@ def facts_closure(spark, sf_dir: str) -> DataFrame:
 
 Q |= {f.__name__: f for f in (syntax_node_kinds, syntax_if_expressions, syntax_guarded_bodies, syntax_call_arguments, expression_values, facts_callers, facts_importers, facts_closure)}
 
+
+def _names(name: str, kind: str):
+    def q(spark, sf_dir: str) -> DataFrame:
+        return view(code_facts(spark, sf_dir), kind).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"))
+
+    q.__name__ = name
+    return q
+
+
+for _n, _k in (("facts_protocol_names", "protocol"), ("facts_extension_names", "extension")):
+    Q[_n] = _names(_n, _k)
+
+_HEAD = r"(?:(?:public|private|internal|fileprivate|open|package|final|nonisolated|@\w+(?:\([^)\n]*\))?)\s+)*"
+_DECLARED = r"SELECT path, name, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \t]*{head}{word}[ \t]+([\w.]+)', 1)) AS name FROM (SELECT DISTINCT path, text FROM source_files WHERE lang = 'swift' AND path IS NOT NULL)) GROUP BY 1, 2"
 _IMPORTED = r"unnest(regexp_extract_all(text, '(?m)(?:^|\r|\x{FEFF})\s*(?:@testable )?import (\w+)', 1)) AS module FROM source_files WHERE lang = 'swift' AND path IS NOT NULL"
 SQL = {
+    "facts_protocol_names": _DECLARED.replace("{head}", _HEAD).replace("{word}", "protocol"),
+    "facts_extension_names": _DECLARED.replace("{head}", _HEAD).replace("{word}", "extension"),
     "facts_importers": f"SELECT path, string_agg(module, ',' ORDER BY module) AS modules FROM (SELECT DISTINCT path, {_IMPORTED}) GROUP BY path HAVING count(*) > 1",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.literals import without_generics
 from factloom.operators import matcher
 from factloom.operators.hierarchy import cyclic_ancestors, hierarchy, with_descendants
 from factloom.session import table
@@ -13,10 +14,9 @@ _BEFORE = r"^(?:@[\p{L}_][\p{L}\p{N}_.]*(?:\([^)]*\))?\s+)+"
 
 
 def plain_entry(entry):
-    """An inheritance entry without attributes, generic arguments (nested to any depth up to six) and outer spaces."""
+    """An inheritance entry without attributes, generic arguments and outer spaces."""
     e = F.regexp_replace(F.trim(F.regexp_replace(entry, r"[\s ]+", " ")), _BEFORE, "")
-    for _ in range(6):
-        e = F.regexp_replace(e, r"<[^<>]*>", "")
+    e = without_generics(e)
     return F.trim(F.regexp_replace(e, r"\s*\.\s*", "."))
 
 

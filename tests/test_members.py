@@ -76,6 +76,13 @@ def test_literals(spark):
     assert [r[0] for r in lines.select(literals.has_line_longer_than(t, 6)).collect()] == [False, True, False] and [r[0] for r in lines.select(literals.has_line_longer_than(t, 4)).collect()] == [True, True, True]
 
 
+def test_generic_arguments_of_any_depth(spark):
+    deep = "A" + "<B" * 12 + ">" * 12 + ".C"
+    rows = [(deep,), ("Map<K, (A) -> B<C>>",), ("Plain",), ("M.T<U>.V",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(literals.without_generics(F.col("t"))).collect()]
+    assert got == ["A.C", "Map", "Plain", "M.T.V", None]
+
+
 def test_lists_sets_and_ranges(spark):
     df = spark.createDataFrame([("a", 3, None), ("a", 1, "x"), ("b", 2, "y"), ("b", None, "x")], "k string, v int, s string")
     g = c.grouped(df, ["k"], "v")

@@ -79,3 +79,14 @@ def test_rules(spark):
 def test_nested_baselines_accept_below_their_folder_only(spark):
     b = spark.createDataFrame([("r", "n", "a.swift", "Sub"), ("r", "n", "b.swift", None), ("r", "n", "../c.swift", "Sub"), ("r", "n", "d.swift", "./")][:3], "rule string, name string, path string, folder string")
     assert {r["path"] for r in rules.scoped_baseline(b).collect()} == {"Sub/a.swift", "b.swift"}
+
+
+def test_many_rules_in_one_scan(spark):
+    df = spark.createDataFrame([("A", "a.swift", 1, 1, True), ("B", "b.swift", 2, 1, None)], "name string, path string, line int, col int, is_final boolean")
+    s = Selection(df, Roles(order=("path",)), "types")
+    checks = {"final": m.flag("final", "is_final"), "a": m.named("A")}
+    r = rules.check_all(s, checks, {"a": "advisory"})
+    assert {(e["rule_id"], e["level"], e["name"], e["line"]) for e in r.events.collect()} == {("final", "error", "B", 2), ("a", "warning", "B", 2)}
+    assert {tuple(c) for c in r.counts.collect()} == {("final", 2, 1), ("a", 2, 1)} and r.failed()
+    one = rules.run([rules.Rule(k, lambda k=k: s.violations(of=checks[k])) for k in checks])
+    assert {(e["rule_id"], e["rule"]) for e in r.events.collect()} == {(e["rule_id"], e["rule"]) for e in one.events.collect()}

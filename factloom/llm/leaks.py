@@ -268,7 +268,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     cleaned = cut(cleaned_items(items))
     # The terms of all items, not their texts, are held at once: they grow far more slowly than the items.
     vocabulary: dict[str, int] = {}
-    for block in _blocks(cleaned):
+    held: list | None = None
+    for n, block in enumerate(_blocks(cleaned)):
+        # A single block is kept; of several each is read again when its turn comes.
+        held = block if n == 0 else None
         for _, ws in block:
             for w in ws:
                 if w is not None:
@@ -277,9 +280,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     if vocabulary:
         index = cut(spread(src).mapInPandas(_index(vocabulary), _SHARD))
         each = index.select(F.explode(F.arrays_zip("terms", "n_docs")).alias("t"))
-        held = {r["term"]: r["n"] for r in each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.n_docs").alias("n")).collect()}
-        rarity = {w: (held.get(k, 0), k) for w, k in vocabulary.items()}
-        for block in _blocks(cleaned):
+        counts = {r["term"]: r["n"] for r in each.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.n_docs").alias("n")).collect()}
+        rarity = {w: (counts.get(k, 0), k) for w, k in vocabulary.items()}
+        for block in [held] if held is not None else _blocks(cleaned):
             queries = [(item, np.array([-2 if w is None else vocabulary[w] for w in ws], dtype=np.int32), np.array(_anchors(ws, rarity))) for item, ws in block]
             found = found.unionByName(index.mapInPandas(_probe(queries), _HIT))
     best = F.max_by(F.struct("item_start", "n_words", "n_replaced"), F.struct("n_words", -F.col("n_replaced"), -F.col("item_start"))).alias("b")

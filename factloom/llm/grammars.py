@@ -233,7 +233,8 @@ _PY_SETS = {"AUGMENT": ["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "
 C = r"""
 File = (External / ';')* EOF
 External = MACROID BalancedGroup? ';'? &(NL / EOF) / 'extern' STRING '{' External* '}' / 'extern' STRING External / StaticAssert / Function / Declaration / MacroCall
-MacroCall = NAME '(' (BalancedItem)* ')' ';'?
+MacroCall = MACROID BalancedGroup ';'? / NAME BalancedGroup (';' / &'{')
+MacroStatement = MACROID BalancedGroup ';'? / NAME BalancedGroup &'{'
 BalancedItem = '(' BalancedItem* ')' / '[' BalancedItem* ']' / '{' BalancedItem* '}' / !('(' / ')' / '[' / ']' / '{' / '}') ANY
 BalancedGroup = '(' BalancedItem* ')'
 StaticAssert = ('_Static_assert' / 'static_assert') '(' Assign (',' STRING)? ')' ';'
@@ -262,7 +263,7 @@ TypeName = Specifiers Abstract?
 Initializer = '{' (Designated (',' Designated)* ','?)? '}' / Assign
 Designated = (('[' Conditional ('...' Conditional)? ']' / '.' NAME)+ '=')? Initializer
 Compound = '{' (Declaration / Statement)* '}'
-Statement = Labelled / Compound / If / Switch / While / Do / For / Jump / StaticAssert / ExpressionStatement / MacroCall
+Statement = Labelled / Compound / If / Switch / While / Do / For / Jump / StaticAssert / ExpressionStatement / MacroStatement
 Labelled = NAME ':' / 'case' Conditional ('...' Conditional)? ':' / 'default' ':'
 If = 'if' '(' Expression ')' Statement ('else' Statement)?
 Switch = 'switch' '(' Expression ')' Statement
@@ -305,7 +306,7 @@ _SAID = {
     "Expression": "an expression", "HeadExpression": "an expression", "Unary": "an expression", "HeadUnary": "an expression", "Postfix": "an expression", "HeadPostfix": "an expression", "Primary": "an expression", "HeadPrimary": "an expression", "Test": "an expression", "Stars": "an expression",
     "Named": "an expression", "Or2": "an expression", "Or": "an expression", "Assign": "an expression", "Conditional": "an expression", "Cast": "an expression", "Statement": "a statement", "Declaration": "a declaration", "DeclarationBody": "a declaration", "Member": "a declaration", "External": "a declaration",
     "TypeName": "a type", "TypeCore": "a type", "TypePrimary": "a type", "Pattern": "a pattern", "Block": "a block", "Compound": "a block", "Closure": "a closure", "Value": "a value", "STRING": "a string", "NUMBER": "a number", "IDENT": "a name", "NAME": "a name", "ID": "a name", "NEWLINE": "the end of the line",
-    "EOF": "the end of the file", "INDENT": "an indented block", "DEDENT": "the end of the block", "NL": "a new line", "Declarator": "a declarator", "Specifiers": "a type", "Parameters": "parameters", "Members": "a body in braces", "Name": "a name", "WORD": "true, false or null", "Pair": "a name in quotes",
+    "EOF": "the end of the file", "INDENT": "an indented block", "DEDENT": "the end of the block", "NL": "a new line", "Declarator": "a declarator", "Specifiers": "a type", "Parameters": "parameters", "Members": "a body in braces", "Name": "a name", "WORD": "true, false or null", "ASSIGN": "=", "BASIC": "a type", "QUALIFIER": "a qualifier", "OPERATOR": "an operator", "LITERAL": "a literal", "MODIFIER": "a modifier", "DIRECTIVE": "a macro", "TYPEWORD": "a type", "AUGMENT": "an assignment", "Pair": "a name in quotes",
 }
 _UNSAID = {"SL", "TIGHT", "POST", "PRE", "BINARY", "AMP", "TERNARY", "MACRO", "MACROID", "INFIX", "ANY", "Attribute", "Attributes", "Modifier", "GenericUse", "PostfixConfig", "Suffix", "HeadSuffix", "Infix", "HeadInfix", "Trailing", "ArgumentNames", "Effects", "Effect", "STRING_MORE", "STRING_CLOSE", "Break", "IfConfig", "MemberConfig", "DirectSuffix", "PostfixTail", "After", "#if", "?", "!", "...", ".", "="}
 _made: dict[str, tuple[Grammar, object]] = {}
@@ -379,7 +380,8 @@ def parses(text: str, lang: str) -> bool:
 def _message(g: Grammar, t: lexers.Tokens, far: int) -> str:
     """What the grammar would have taken at the furthest token."""
     wanted = g.expected(t.kinds, t.first, far)
-    said = sorted({_SAID.get(w, w) for w in wanted if w not in _UNSAID})
+    # What ends something is most often what was forgotten.
+    said = sorted({_SAID.get(w, w) for w in wanted if w not in _UNSAID}, key=lambda w: (w not in (";", ")", "]", "}", ",", ":"), not w[:1].isalpha(), w))
     if not said:
         return "a declaration was expected here"
     return ("expected " + (said[0] if len(said) == 1 else ", ".join(said[:-1]) + " or " + said[-1])) if len(said) <= 6 else "expected " + ", ".join(said[:5]) + " or another token"

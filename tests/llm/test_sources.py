@@ -168,13 +168,14 @@ def test_valid_forms_that_look_odd():
     good = {
         "swift": ["let a = m.reduce { first, _ in first }", "do { try f() } catch is E { }", "do { try f() } catch where x { }", "switch a { case is X: b()\ndefault: c() }", "func f() async { async let a = g()\n_ = await a }", "z >>= 7", "let s = t[..<i]", "struct S { static func == <A, B>(l: A, r: B) -> Bool { true } }", "let STRING = 1, NUMBER = 2\nvar EOF = STRING", "if #available(macOS 26, iOS 26, *), a { }", "guard let p = unsafe try? q() else { fatalError() }", "let x: Array<Array<Int>> = []", "if case is X = y { }"],
         "python": ["a.STRING\nNAME = NUMBER\n", "x = f'{a['b']}' f\"{d[\"k\"]!r:>{w}}\"\n", "x = f'{{}} {a:{b}}'\n", "s = rf'\\d{{2}} {x}'\n", "עִברִית = 1\n", "y = f'''{\n  a # note }\n}'''\n"],
-        "c": ["int STRING = 1;\nint NUMBER;\n", "extern int remove (const char *name) __THROW;\n", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint a;\n#ifdef __cplusplus\n}\n#endif\n", "__BEGIN_DECLS\nint f(void) __nonnull ((1));\n__END_DECLS\n", "#if 0\nthis is ( no C\n#else\nint a;\n#endif\n", "#if A\nint f(int a) {\n#else\nint f(long a) {\n#endif\nreturn 1; }\n"],
+        "c": ["int STRING = 1;\nint NUMBER;\n", "extern int remove (const char *name) __THROW;\n", "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint a;\n#ifdef __cplusplus\n}\n#endif\n", "__BEGIN_DECLS\nint f(void) __nonnull ((1));\n__END_DECLS\n", "#if 0\nthis is ( no C\n#else\nint a;\n#endif\n", "#if A\nint f(int a) {\n#else\nint f(long a) {\n#endif\nreturn 1; }\n", "void f(void) {\n  LIST(a b, c)\n  each(p, q) { h(); }\n}\nDEFINE(x)\nint a;\n"],
         "json": ['{"a": [1, "STRING"]}'],
     }
     for lang, texts in good.items():
         for t in texts:
             assert check(t, lang) is None, (lang, t, check(t, lang))
-    bad = {"c": ["#if A\nint a;\n#else\nint f( {\n#endif\n", "#if A\nint a;\n#elif B\nint b\n#else\nint c;\n#endif\n"], "python": ["x = f'{a'\ny = (\n"], "swift": ["async func f() { }\nlet a = = 2"]}
+    assert check("int f(void) { return 0 }", "c").message.startswith("expected ,, ;")
+    bad = {"c": ["void f(void) {\n  g(x)\n}\n", "#if A\nint a;\n#else\nint f( {\n#endif\n", "#if A\nint a;\n#elif B\nint b\n#else\nint c;\n#endif\n"], "python": ["x = f'{a'\ny = (\n"], "swift": ["async func f() { }\nlet a = = 2"]}
     for lang, texts in bad.items():
         for t in texts:
             assert check(t, lang) is not None, (lang, t)

@@ -36,10 +36,15 @@ def corresponding_types(spark, d):
     return layering.corresponding(rows, t.select("module", F.col("name").alias("screen")), ["module", "screen"]).select("type_id", "observed_at", "module", "name")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_acctbal > 9000)")
+@query(
+    r"""WITH t AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS folder FROM type_decls WHERE path IS NOT NULL) SELECT type_id, observed_at, folder FROM t WHERE name LIKE '%Loader'
+    AND NOT EXISTS (SELECT 1 FROM t p WHERE p.folder = t.folder AND p.name LIKE '%Kind' AND left(p.name, 4) = left(t.name, 4))"""
+)
 def corresponding_in_group(spark, d):
-    s = table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey"))
-    return layering.corresponding(table(spark, d, "customer"), s, ["c_nationkey"]).select("c_custkey")
+    """Loaders without a kind in their folder whose name begins alike."""
+    t = table(spark, d, "type_decls").where("path is not null").withColumn("folder", paths.parent(F.col("path"))).withColumn("start", F.substring("name", 1, 4))
+    rows, others = t.where(F.col("name").endswith("Loader")), t.where(F.col("name").endswith("Kind")).select("folder", "start")
+    return layering.corresponding(rows, others, ["folder", "start"]).select("type_id", "observed_at", "folder")
 
 
 @query(

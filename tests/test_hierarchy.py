@@ -6,7 +6,7 @@ from factloom.operators import hierarchy as module
 from factloom.operators.hierarchy import cyclic_ancestors, hierarchy, with_descendants
 
 
-@pytest.fixture(params=["one task", "rounds", "rounds, split keys"], autouse=True)
+@pytest.fixture(params=["one task", "rounds, split keys"], autouse=True)
 def peeled(request, monkeypatch):
     """The rows are the same whether the nodes fit one task or not, and whether keys are split or not."""
     if request.param != "one task":

@@ -120,3 +120,13 @@ def has_line_longer_than(text: Column, width: int, tab_width: int = 4) -> Column
         return filled + F.length(F.element_at(parts, -1)) > width
 
     return F.coalesce(F.exists(lines, wide), F.lit(False))
+
+
+def grapheme_count(text: Column) -> Column:
+    """Characters as a reader sees them: letters with their marks, and joined signs, count once."""
+    return F.length(F.regexp_replace(text, r"\X", "x"))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Canonical equality: composed and decomposed spellings are one text; nulls equal each other."""
+    return F.collate(a, "UNICODE").eqNullSafe(F.collate(b, "UNICODE"))

@@ -96,3 +96,27 @@ def test_lists_sets_and_ranges(spark):
     for bad in (c.subscript(F.col("l"), F.lit(3)), c.sliced(F.col("l"), F.lit(2), F.lit(9)), c.range_count(F.col("i"), F.lit(0))):
         with pytest.raises(Exception, match="range"):
             row.select(bad).collect()
+
+
+def test_conditions_are_true_false_or_unknown(spark):
+    from factloom.functions import conditions as k
+
+    cases = [("os(Linux)", True), ("!os(Linux)", False), ("os(macOS) || os(Linux)", True), ("DEBUG && os(macOS)", False), ("DEBUG || os(Linux)", True), ("DEBUG", None), ("!(os(Windows) && DEBUG)", True), ("os(iOS)", None), ("(os(Linux)", None), ("swift(>=5.9) && os(Linux)", None), ("", None)]
+    for text, want in cases:
+        assert k.value(text, "Linux") is want, text
+    assert [k.branch_value(c, p, "Linux") for c, p in (("os(macOS)", []), ("os(Linux)", ["os(macOS)"]), ("", ["os(macOS)"]), ("", ["os(Linux)"]), ("os(Linux)", ["DEBUG"]))] == [False, True, True, False, None]
+    rows = read_facts(inline_sources(spark, {"a.swift": "#if os(Linux)\nimport A\n#elseif DEBUG\nimport B\n#else\nimport C\n#endif\n"}))
+    got = [r["is_active"] for r in k.with_values(view(rows, "branch"), "Linux").orderBy("line").collect()]
+    assert got == [True, False, False]
+
+
+def test_requirements_and_texts(spark):
+    from factloom.functions import versions as v
+
+    rows = [("from:1.2.0", "1.9.9"), ("from:1.2.0", "2.0.0"), ("exact:1.2.0", "1.2.0"), ("exact:1.2.0", "1.2.1"), ("upToNextMinor:1.2.3", "1.2.9"), ("upToNextMinor:1.2.3", "1.3.0"), ("branch:main", "1.0.0"), ("from:1.2.0", "1.2.0-beta"), (None, "1.0.0")]
+    df = spark.createDataFrame(rows, "r string, v string")
+    assert [r[0] for r in df.select(v.allows(F.col("r"), F.col("v"))).collect()] == [True, False, True, False, True, False, None, False, None]
+    got = df.select(v.minimum_version(F.col("r")), v.major_version(F.col("r")), v.is_exact_version(F.col("r"))).collect()
+    assert tuple(got[0]) == ("1.2.0", 1, False) and tuple(got[2]) == ("1.2.0", 1, True) and tuple(got[6]) == (None, None, False)
+    t = spark.createDataFrame([("éa", "éa"), ("x", None), (None, None), ("👩‍👩‍👧b", "b")], "a string, b string")
+    assert [tuple(r) for r in t.select(literals.grapheme_count(F.col("a")), literals.same_text(F.col("a"), F.col("b"))).collect()] == [(2, True), (1, False), (None, True), (2, False)]

@@ -163,6 +163,23 @@ def compile_grammar(name: str, text: str, sets: dict[str, list[str]] | None = No
             if f != firsts[r]:
                 firsts[r], changed = f, True
 
+    def names_itself(r: str) -> bool:
+        seen, todo = set(), [rules[r]]
+        while todo:
+            x = todo.pop()
+            if x[0] == "rule":
+                if x[1] == r:
+                    return True
+                # Only rules that are written out in this one could bring it into itself.
+                if uses.get(x[1]) == 1 and x[1] not in seen:
+                    seen.add(x[1])
+                    todo.append(rules[x[1]])
+            elif x[0] in ("choice", "seq"):
+                todo += x[1]
+            elif x[0] not in ("tok", "zero"):
+                todo.append(x[1])
+        return False
+
     consts: dict[frozenset, str] = {}
     out: list[str] = []
     fresh = iter(range(10**9))
@@ -186,6 +203,8 @@ def compile_grammar(name: str, text: str, sets: dict[str, list[str]] | None = No
             w(f"if L[p] {dict(NL='!= 1', SL='== 1', TIGHT='!= 2')[x[1]]}:")
             w("    if p > far[0]: far[0] = p")
             w("    p = -1")
+        elif op == "rule" and x[1] in inlined:
+            gen(rules[x[1]], ind)
         elif op == "rule":
             w(f"p = r_{x[1]}(p)")
         elif op == "seq":
@@ -255,9 +274,13 @@ def compile_grammar(name: str, text: str, sets: dict[str, list[str]] | None = No
                 w("    p = -1")
 
     top = next(iter(rules))
+    # A rule that is named in one place only is written out there, which saves the call.
+    inlined = {r for r in rules if uses.get(r) == 1 and r != top and not names_itself(r)}
     out.append("def parse(K, L):")
     out.append("    far = [0]")
     for r, x in rules.items():
+        if r in inlined:
+            continue
         memo = uses.get(r, 0) > 1 and x[0] != "tok"
         if memo:
             out.append(f"    m_{r} = {{}}")

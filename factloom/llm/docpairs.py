@@ -273,11 +273,12 @@ def plain_sentences(documentation: str) -> str:
     return "\n".join(kept)
 
 
-def is_trivial(documentation: str | None, name: str) -> bool:
-    """Whether a comment says nothing beyond the function's name (see plain_sentences); null and empty ones do so."""
+def is_trivial(documentation: str | None, name: str, plain: str | None = None) -> bool:
+    """Whether a comment says nothing beyond the function's name; null and empty ones do so. plain: what plain_sentences
+    gave for it, if that is known."""
     if not documentation:
         return True
-    s = plain_sentences(documentation)
+    s = plain_sentences(documentation) if plain is None else plain
     s = re.sub(r"<#.*?#>", " ", s, flags=re.S)
     s = re.sub(r"<!--.*?-->", " ", s, flags=re.S)
     s = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", s)

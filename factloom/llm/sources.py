@@ -61,35 +61,44 @@ def p1_rates(spark, sf_dir: str) -> DataFrame:
     return g.withColumn("invalid_rate", F.col("n_invalid") / F.col("n_files"))
 
 
-_PAIR = "file_id bigint, ingested_at timestamp_ntz, text_hash bigint, line int, col int, name string, signature string, labels array<string>, names array<string>, documentation string, summary string, code string"
+_KEY = "file_id bigint, ingested_at timestamp_ntz, text_hash bigint, line int, signature string"
+_PAIR = _KEY + ", col int, name string, labels array<string>, names array<string>, documentation string, summary string, code string"
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from factloom.llm import docpairs
-    from factloom.llm.grammars import valid_tokens
+def _pairs(whole: bool):
+    """whole: with the names, the comment and the code, which a search for the functions alone need not carry along."""
 
-    for b in batches:
-        rows = []
-        for file_id, at, h, text in zip(b["file_id"], b["ingested_at"], b["text_hash"], b["text"]):
-            # The cheap test first: without a documentation comment there is no pair.
-            if ("///" not in text and "/**" not in text) or (tokens := valid_tokens(text, "swift")) is None:
-                continue
-            for f in docpairs.functions(text, tokens):
-                if not docpairs.is_trivial(f.documentation, f.name):
-                    rows.append((file_id, at, h, f.line, f.col, f.name, f.signature, list(f.labels), list(f.names), f.documentation, docpairs.plain_sentences(f.documentation), f.code))
-        yield pd.DataFrame(rows, columns=["file_id", "ingested_at", "text_hash", "line", "col", "name", "signature", "labels", "names", "documentation", "summary", "code"])
-
-
-def documented_functions(files: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from factloom.llm import docpairs
+        from factloom.llm.grammars import valid_tokens
+
+        names = [c.split(" ")[0] for c in (_PAIR if whole else _KEY).split(", ")]
+        for b in batches:
+            rows = []
+            for file_id, at, h, text in zip(b["file_id"], b["ingested_at"], b["text_hash"], b["text"]):
+                # The cheap test first: without a documentation comment there is no pair.
+                if ("///" not in text and "/**" not in text) or (tokens := valid_tokens(text, "swift")) is None:
+                    continue
+                for f in docpairs.functions(text, tokens):
+                    said = docpairs.plain_sentences(f.documentation)
+                    if not docpairs.is_trivial(f.documentation, f.name, said):
+                        more = (f.col, f.name, list(f.labels), list(f.names), f.documentation, said, f.code) if whole else ()
+                        rows.append((file_id, at, h, f.line, f.signature, *more))
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def documented_functions(files: DataFrame, whole: bool = True) -> DataFrame:
     """Code-description pairs of the valid Swift files: one row for each documented function, see docpairs.
 
     Null file_ids and texts give no rows; of a file that comes twice with different texts the last text holds. Two
-    functions of one signature on one line of a file are one row.
+    functions of one signature on one line of a file are one row. whole false: only file_id, line and signature.
     """
     src = files.where("file_id is not null and text is not null").where(F.lower(F.trim("lang")) == "swift").select(
         "file_id", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"), F.xxhash64("text").alias("text_hash"), "text"
     )
-    rows = spread(src).mapInPandas(_pairs, _PAIR)
+    rows = spread(src).mapInPandas(_pairs(whole), _PAIR if whole else _KEY)
     # The text that holds is settled on ids and hashes alone, and only for files that come with several texts.
     several = src.select("file_id", "ingested_at", "text_hash").groupBy("file_id").agg(F.max_by("text_hash", F.struct("ingested_at", "text_hash")).alias("held"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("file_id", "held")
     one = rows.dropDuplicates(["file_id", "text_hash", "line", "signature"])
@@ -97,7 +106,7 @@ def documented_functions(files: DataFrame) -> DataFrame:
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    return documented_functions(table(spark, sf_dir, "source_files")).select("file_id", "line", "signature")
+    return documented_functions(table(spark, sf_dir, "source_files"), whole=False).select("file_id", "line", "signature")
 
 
 def p2_pairs(spark, sf_dir: str) -> DataFrame:

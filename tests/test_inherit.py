@@ -1,12 +1,13 @@
 from types import SimpleNamespace
 
+import pandas as pd
 import pyarrow as pa
 
 from factloom.operators import inherit
 from factloom.operators.inherit import closure, resolved
 from factloom.plans.inheritance import inherited_names, with_closure
 from factloom.sources import readers
-from factloom.sources.declarations import read_facts, view
+from factloom.sources.declarations import _facts, read_facts, view
 
 CODE = """
 class Grandparent {}
@@ -110,3 +111,10 @@ def test_searches_side_by_side_and_long_lists(monkeypatch):
             levels |= dict.fromkeys(ahead, max(levels.values(), default=0) + 1)
         wanted += [(root, a, k) for a, k in levels.items()]
     assert seen[0] == seen[1] == seen[2] == sorted(wanted)
+
+
+def test_facts_of_large_batches_leave_in_parts():
+    files = pd.DataFrame({"path": [f"{i}.swift" for i in range(1201)], "text": [f"class C{i}: D {{}}\n" for i in range(1201)]})
+    parts = list(_facts(iter([files, files[:0]])))
+    assert max(p["path"].nunique() for p in parts) <= 500
+    assert list(pd.concat(parts)["name"]) == [f"C{i}" for i in range(1201)]
